@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,6 +37,14 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """A Parquet table in the shared folder: computed once, columnar and compressed, lineage cut."""
+    spark = df.sparkSession
+    path = f"{shared_dir(spark).rstrip('/')}/peakloom-{uuid.uuid4().hex}"
+    df.write.option("compression", "zstd").parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def text_batches(spark: SparkSession) -> None:
     """Bound Arrow batches by rows, for columns of whole texts; Python functions follow, so the package is sent too."""
     ship(spark)

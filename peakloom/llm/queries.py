@@ -5,15 +5,20 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from . import decontaminate, language, pieces, sharding, simhash, token_counts
+from . import decontaminate, extract, language, linededup, media, pieces, reputation, sharding, simhash, token_counts
 
 
 def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = _table(spark, sf_dir, "pages")
+    outcomes = reputation.outcomes_by_text(pages, _table(spark, sf_dir, "documents"), _table(spark, sf_dir, "labels"))
+    return reputation.judge(pages, outcomes)
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.round_trips(_table(spark, sf_dir, "documents"))
 
@@ -22,6 +27,10 @@ def op3_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.report(_table(spark, sf_dir, "documents"), _table(spark, sf_dir, "benchmark"))
 
 
+def op4_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.align_vectors(_table(spark, sf_dir, "embeddings"))
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = simhash.near_duplicates(_table(spark, sf_dir, "documents"))
     return found.select("doc_id", "fingerprint", "component_id")
@@ -39,8 +48,16 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(token_counts.flatten(_table(spark, sf_dir, "documents")))
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract.main_texts(_table(spark, sf_dir, "pages"))
+
+
+def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linededup.report(_table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_sentencepiece, op3_decontaminate, op5_simhash, op6_language, op7_sharding, op8_token_counts)}
+    return {f.__name__: f for f in (op1_url_filter, op2_sentencepiece, op3_decontaminate, op4_media, op5_simhash, op6_language, op7_sharding, op8_token_counts, op9_main_text, op10_line_dedup)}
 
 
 _LOWER = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -68,6 +85,25 @@ select doc.doc_id, cast(coalesce(len(w), 0) as bigint) n_words, cast(coalesce(n_
 from doc left join covered using (doc_id) left join named using (doc_id)
 """
 
+OP10_SQL = r"""
+with raw as (select doc_id, string_split(translate(lower(text), chr(9) || chr(11) || chr(12) || chr(13), '    '), chr(10)) ls from documents),
+line as (
+  select doc_id, i - 1 line_no, list_sort(list_distinct(list_filter(string_split(ls[i], ' '), lambda w: w <> ''))) w
+  from (select doc_id, ls, unnest(range(1, len(ls) + 1)) i from raw)
+),
+word as (select row_number() over (order by doc_id, line_no) pos, doc_id, line_no, w, len(w) n from line where len(w) > 0),
+class as (select min(pos) pos, w, any_value(n) n from word group by w),
+later as (
+  select distinct b.pos from class a join class b
+  on a.pos < b.pos and 10 * a.n >= 8 * b.n and 10 * b.n >= 8 * a.n and 18 * len(list_intersect(a.w, b.w)) >= 8 * (a.n + b.n)
+),
+kept as (select doc_id, line_no from word where pos in (select pos from class) and pos not in (select pos from later))
+select d.doc_id, cast(coalesce(n_lines, 0) as bigint) n_lines, cast(coalesce(n_kept, 0) as bigint) n_kept, coalesce(kept_lines, '') kept_lines
+from documents d
+left join (select doc_id, count(*) n_lines from word group by 1) using (doc_id)
+left join (select doc_id, count(*) n_kept, string_agg(cast(line_no as varchar), ',' order by line_no) kept_lines from kept group by 1) using (doc_id)
+"""
+
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_decontaminate": OP3_SQL}
+    return {"op3_decontaminate": OP3_SQL, "op10_line_dedup": OP10_SQL}
