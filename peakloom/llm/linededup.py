@@ -1,6 +1,6 @@
 """Line dedup by an exact set-similarity join, with DataFrame functions only.
 
-A line is the set of its words (lower-cased, split at white space). A later line goes if an earlier line has a Jaccard
+A line is the set of its words (as they stand, split at spaces). A later line goes if an earlier line has a Jaccard
 similarity of at least THRESHOLD percent with it; lines are ordered by (doc_id, hash of the text, place in the text).
 
 1. Words are counted over all lines in BINS hash bins; the order of words is by count of the bin, then by hash. Any
@@ -10,19 +10,20 @@ similarity of at least THRESHOLD percent with it; lines are ordered by (doc_id,
    word's place, and a parity signature (one bit a word, XOR-ed): two signatures differ in no more bits than the sets differ
    in words. A semi join on the word under length, positional and signature filters leaves the classes that
    have a candidate at all, and the words where they have it.
-4. Only those lines are read again with all their words. A second semi join on the same words verifies the exact
-   similarity to an earlier class. Semi joins look for one partner and stop: no pairs are ever emitted.
+4. Only those lines are read again with all their words, and verified: against the earliest class of each word where
+   they meet, one pair each; and what that leaves open by a second semi join on the same words, with the exact similarity
+   as its condition. Semi joins look for one partner and stop: the pairs of a group are never emitted.
 
-Both joins are plain equi-joins between shuffled sides, which adaptive execution splits where a word is hot.
+The joins are plain equi-joins between shuffled sides, which adaptive execution splits where a word is hot.
 
-Empty lines and lines of white space are kept and never compared. Null and empty texts stay as they are. Rows that repeat id
+Empty lines and lines of spaces are kept and never compared. Null and empty texts stay as they are. Rows that repeat id
 and text are decided alike. Null ids come first in the order. A document keeps its other lines; `text` without a
 single word left is dropped by `deduplicate`.
 """
 
 from __future__ import annotations
 
-from functools import partial
+from functools import partial, reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,23 +32,18 @@ from .common import free_name, stored
 
 #: Percent.
 THRESHOLD = 80
-BINS = 1 << 17
-#: Words of a set up to which one 64-bit signature tells enough; larger sets get a longer one too, of up to 16 words.
-SHORT = 64
+BINS = 1 << 18
+#: Sets of up to SHORT words have a signature of 64 bits, of up to LONG words one of 128 bits, larger ones of 256.
+SHORT, LONG = 64, 192
+SIGNATURES = ("s1", "s2", "s3", "s4")
 #: Lines that may be broadcast as keys; beyond that they are joined by shuffling.
 BROADCAST_LINES = 1_000_000
 
 
-def _flat(text: Column) -> Column:
-    for c in "\t\r\x0b\x0c":
-        text = F.replace(text, F.lit(c), F.lit(" "))
-    return text
-
-
 def _ranks(documents: DataFrame, bins: int) -> Column:
     """A literal array: the place of each bin when bins are ordered by the number of words in them."""
-    words = documents.select(F.explode(F.split(F.replace(_flat(F.lower("text")), F.lit("\n"), F.lit(" ")), " ")).alias("w")).filter("w <> ''")
-    counts = words.groupBy(F.pmod(F.xxhash64("w"), F.lit(bins)).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
+    words = documents.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w")).filter("w <> ''")
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(bins - 1).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
     count = [0] * bins
     for r in counts:
         count[r.bin] = r.n
@@ -59,19 +55,19 @@ def _ranks(documents: DataFrame, bins: int) -> Column:
 
 def _lines(documents: DataFrame) -> DataFrame:
     """(doc_id, row_hash, line_no, line): every line that has a word."""
-    made = documents.select("doc_id", F.xxhash64("text").alias("row_hash"), F.posexplode(F.split(_flat(F.lower("text")), "\n")).alias("line_no", "line"))
+    made = documents.select("doc_id", F.xxhash64("text").alias("row_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
     return made.filter(F.trim("line") != "")
 
 
 def _words(line: Column, ranks: Column, bins: int) -> Column:
     """The line's set as sorted integers, rarest first: rank of the bin above, rest of the hash below."""
     bits = bins.bit_length() - 1
-    hashes = F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w))
+    hashes = F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w)))
     keys = F.transform(
         hashes,
-        lambda h: F.shiftleft(F.get(ranks, F.pmod(h, F.lit(bins)).cast("int")).cast("bigint"), 63 - bits).bitwiseOR(F.shiftrightunsigned(h, bits + 1).bitwiseAND((1 << 63 - bits) - 1)),
+        lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(bins - 1).cast("int")).cast("bigint"), 63 - bits).bitwiseOR(F.shiftrightunsigned(h, bits + 1)),
     )
-    return F.sort_array(F.array_distinct(keys))
+    return F.sort_array(keys)
 
 
 def _parity(words: Column) -> Column:
@@ -79,26 +75,34 @@ def _parity(words: Column) -> Column:
     return F.aggregate(words, F.lit(0).cast("bigint"), lambda acc, x: acc.bitwiseXOR(F.call_function("shiftleft", one, x.bitwiseAND(63).cast("int"))))
 
 
-def _long_parity(words: Column, n: Column) -> Column:
-    """Parity words by the next bits of the hash, for sets of over SHORT words; else null."""
-
-    def of(size: int) -> Column:
-        own = [F.filter(words, partial(lambda k, x: F.shiftrightunsigned(x, 6).bitwiseAND(size - 1) == k, k)) for k in range(size)]
-        return F.array(*map(_parity, own))
+def _signatures(words: Column, n: Column) -> list[Column]:
+    """Parity of 64 places for sets of up to SHORT words, of 128 up to LONG, of 256 above: s1 .. s4, the rest 0.
 
-    return F.when(n > 8 * SHORT, of(16)).when(n > 4 * SHORT, of(8)).when(n > 2 * SHORT, of(4)).when(n > SHORT, of(2))
+    A word's place among fewer is its place among more, modulo their number, so longer signatures fold by XOR."""
 
+    def part(k: int, size: int) -> Column:
+        return _parity(F.filter(words, partial(lambda k, x: F.shiftrightunsigned(x, 6).bitwiseAND(size - 1) == k, k)))
 
-def _halved(a: Column, size: Column) -> Column:
-    """A signature folded to `size` words (it has as many, or twice as many)."""
-    return F.when(F.size(a) > size, F.zip_with(F.slice(a, 1, size), F.slice(a, size + 1, size), lambda x, y: x.bitwiseXOR(y))).otherwise(a)
+    zero = F.lit(0).cast("bigint")
+    least = [_parity(words), zero, zero, zero]
+    return [F.when(n <= SHORT, least[k]).when(n <= LONG, part(k, 2) if k < 2 else zero).otherwise(part(k, 4)).alias(f"s{k + 1}") for k in range(4)]
 
 
 def _positional(x: str, y: str, t: int) -> Column:
-    """Whether sets that meet at these places can have enough words in common."""
+    """Whether sets that are similar meet at these places: within the prefixes that their sizes leave, and with enough words
+    before and after in common."""
     c = lambda side, name: F.col(f"{side}.{name}")
+    both = c(x, "n") + c(y, "n")
+    prefixes = ((100 + t) * (c(x, "n") - c(x, "i")) >= t * both) & ((100 + t) * (c(y, "n") - c(y, "i")) >= t * both)
     most = F.least(c(x, "i"), c(y, "i")) + 1 + F.least(c(x, "n") - 1 - c(x, "i"), c(y, "n") - 1 - c(y, "i"))
-    return (100 + t) * most >= t * (c(x, "n") + c(y, "n"))
+    return prefixes & ((100 + t) * most >= t * both)
+
+
+def _xor(side: str, names: tuple[str, ...]) -> Column:
+    out = F.col(f"{side}.{names[0]}")
+    for name in names[1:]:
+        out = out.bitwiseXOR(F.col(f"{side}.{name}"))
+    return out
 
 
 def _close(x: str, y: str, t: int) -> Column:
@@ -106,11 +110,14 @@ def _close(x: str, y: str, t: int) -> Column:
     c = lambda side, name: F.col(f"{side}.{name}")
     n, m, both = c(x, "n"), c(y, "n"), c(x, "n") + c(y, "n")
     length = (100 * m >= t * n) & (100 * n >= t * m)
-    short = (100 + t) * F.bit_count(c(x, "s").bitwiseXOR(c(y, "s"))) <= (100 - t) * both
-    words = F.least(F.size(c(x, "l")), F.size(c(y, "l")))
-    differ = F.aggregate(F.zip_with(_halved(c(x, "l"), words), _halved(c(y, "l"), words), lambda a, b: F.bit_count(a.bitwiseXOR(b))), F.lit(0), lambda acc, b: acc + b)
-    long = F.when(c(x, "l").isNull() | c(y, "l").isNull(), F.lit(True)).otherwise((100 + t) * differ <= (100 - t) * both)
-    return length & short & long
+
+    def fits(*parts: tuple[str, ...]) -> Column:
+        bits = [F.bit_count(_xor(x, p).bitwiseXOR(_xor(y, p))) for p in parts]
+        return (100 + t) * reduce(lambda a, b: a + b, bits) <= (100 - t) * both
+
+    some = (n <= SHORT) | (m <= SHORT) | fits(("s1", "s3"), ("s2", "s4"))
+    many = (n <= LONG) | (m <= LONG) | fits(("s1",), ("s2",), ("s3",), ("s4",))
+    return length & fits(SIGNATURES) & some & many
 
 
 def _prefix(words: Column, n: Column, t: int) -> Column:
@@ -118,18 +125,27 @@ def _prefix(words: Column, n: Column, t: int) -> Column:
 
 
 def _classes(documents: DataFrame, ranks: Column, bins: int, t: int) -> DataFrame:
-    """(k1, k2, first, n, s, l, p) of each distinct set: hash, first place, size, signatures, prefix."""
+    """(k1, k2, first, n, signatures, p) of each distinct set: hash, first place, size, signatures, prefix."""
     made = _lines(documents).withColumn("w", _words(F.col("line"), ranks, bins)).withColumn("n", F.size("w"))
     made = made.select(
         F.struct("doc_id", "row_hash", "line_no").alias("at"),
         F.xxhash64("w").alias("k1"),
         F.xxhash64(F.lit("second"), "w").alias("k2"),
         "n",
-        _parity(F.col("w")).alias("s"),
-        _long_parity(F.col("w"), F.col("n")).alias("l"),
+        *_signatures(F.col("w"), F.col("n")),
         _prefix(F.col("w"), F.col("n"), t).alias("p"),
     )
-    return made.groupBy("k1", "k2").agg(F.min("at").alias("first"), *[F.first(c).alias(c) for c in ("n", "s", "l", "p")])
+    return made.groupBy("k1", "k2").agg(F.min("at").alias("first"), *[F.first(c).alias(c) for c in ("n", *SIGNATURES, "p")])
+
+
+def _similar(x: str, y: str, t: int) -> Column:
+    """Jaccard similarity of two sets of at least t percent, in whole numbers."""
+    return (100 + t) * F.size(F.array_intersect(x, y)) >= t * (F.size(x) + F.size(y))
+
+
+def _small(rows: DataFrame, most: int) -> DataFrame:
+    """Slim rows with a hint to broadcast them, if they were counted and are few enough."""
+    return F.broadcast(rows) if rows.count() <= most else rows
 
 
 def kept_lines(documents: DataFrame, threshold: int = THRESHOLD, bins: int = BINS, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
@@ -142,28 +158,41 @@ def kept_lines(documents: DataFrame, threshold: int = THRESHOLD, bins: int = BIN
     classes = stored(_classes(documents, ranks, bins, t))
 
     # candidates: classes with another one behind the filters, and the words where they meet
-    entries = classes.select("k1", "n", "s", "l", F.posexplode("p").alias("i", "word"))
+    entries = classes.select("k1", "n", *SIGNATURES, F.posexplode("p").alias("i", "word"))
     x, y = entries.alias("x"), entries.alias("y")
-    meet = (F.col("x.word") == F.col("y.word")) & (F.col("x.k1") != F.col("y.k1")) & _positional("x", "y", t) & _close("x", "y", t)
+    meet = (F.col("x.word") == F.col("y.word")) & (F.col("x.k1") != F.col("y.k1")) & _close("x", "y", t) & _positional("x", "y", t)
     met = stored(x.join(y, meet, "left_semi").select("x.k1", "x.word"))
 
     # their lines again, now with all words
-    wanted = classes.join(met.select("k1").distinct(), "k1", "left_semi").select("k1", "k2", "first", "n", "s", "l")
-    wanted = stored(wanted)
-    if wanted.count() <= broadcast_lines:
-        wanted = F.broadcast(wanted)
+    found = stored(met.select("k1").distinct())
+    wanted = stored(classes.join(_small(found, broadcast_lines), "k1", "left_semi").select("k1", "k2", "first", "n", *SIGNATURES))
     lines = _lines(documents)
     at = lines["doc_id"].eqNullSafe(F.col("first.doc_id")) & (lines["row_hash"] == F.col("first.row_hash")) & (lines["line_no"] == F.col("first.line_no"))
-    full = lines.join(wanted, at).select("k1", "k2", "first", "n", "s", "l", "line").dropDuplicates(["k1", "k2"])
+    full = lines.join(_small(wanted, broadcast_lines), at).select("k1", "k2", "first", "n", *SIGNATURES, "line").dropDuplicates(["k1", "k2"])
     full = stored(full.withColumn("line", _words(F.col("line"), ranks, bins)).withColumnRenamed("line", "w"))
 
-    # an earlier class that is really similar
-    sides = met.join(full, "k1")
-    x, y = sides.alias("x"), sides.alias("y")
-    similar = (100 + t) * F.size(F.array_intersect("x.w", "y.w")) >= t * (F.col("x.n") + F.col("y.n"))
-    earlier = (F.col("x.word") == F.col("y.word")) & (F.col("y.first") < F.col("x.first"))
-    later = x.join(y, earlier & _close("x", "y", t) & similar, "left_semi").select("k1", "k2").distinct()
-    kept = classes.select("k1", "k2", "first").join(later, ["k1", "k2"], "left_anti")
+    # an earlier class that is really similar. The earliest class of a word is tried first: in a cluster that settles nearly
+    # all with one pair each. What it leaves open, and has another candidate, is joined with all of them.
+    slim = full.drop("w")
+    sides = stored(met.join(slim, "k1"))
+    words = full.select("k1", "k2", "w")
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        """k1, k2 of the pairs' first members that are similar to the second."""
+        mine = pairs.join(words.select(F.col("k1").alias("x1"), F.col("k2").alias("x2"), F.col("w").alias("xw")), ["x1", "x2"])
+        both = mine.join(words.select(F.col("k1").alias("y1"), F.col("k2").alias("y2"), F.col("w").alias("yw")), ["y1", "y2"])
+        return both.where(_similar("xw", "yw", t)).select(F.col("x1").alias("k1"), F.col("x2").alias("k2")).distinct()
+
+    low = sides.groupBy("word").agg(F.min(F.struct("first", "k1", "k2", "n", *SIGNATURES)).alias("low")).select("word", "low.*")
+    before = (F.col("x.word") == F.col("y.word")) & (F.col("y.first") < F.col("x.first")) & _close("x", "y", t)
+    pairs = sides.alias("x").join(low.alias("y"), before).select(*[F.col(f"{s}.{k}").alias(f"{s}{k[1]}") for s in "xy" for k in ("k1", "k2")]).distinct()
+    settled = stored(verified(pairs))
+    rest = sides.join(settled, ["k1", "k2"], "left_anti")
+    rest = stored(rest.alias("x").join(sides.alias("y"), before, "left_semi"))
+    others = sides.join(rest.select("word").distinct(), "word", "left_semi").join(words, ["k1", "k2"])
+    found = rest.join(words, ["k1", "k2"]).alias("x").join(others.alias("y"), before & _similar("x.w", "y.w", t), "left_semi").select("x.k1", "x.k2")
+    later = stored(settled.union(found.distinct()))
+    kept = classes.select("k1", "k2", "first").join(_small(later, broadcast_lines), ["k1", "k2"], "left_anti")
     kept = kept.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.row_hash").alias("row_hash"))
     return kept.agg(F.sort_array(F.collect_list("first.line_no")).alias("kept"))
 
@@ -171,7 +200,7 @@ def kept_lines(documents: DataFrame, threshold: int = THRESHOLD, bins: int = BIN
 def report(documents: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_kept, kept_lines of every document: its lines with a word, how many stay, their numbers."""
     kept = kept_lines(documents)
-    own = F.size(F.filter(F.split(_flat(F.col("text")), "\n"), lambda x: F.trim(x) != ""))
+    own = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
     rows = documents.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), F.when(F.col("text").isNull(), 0).otherwise(own).alias("n_lines"))
     out = rows.join(kept, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("row_hash")), "left")
     stays = F.coalesce("kept", F.array().cast("array<int>"))
@@ -186,8 +215,8 @@ def deduplicate(documents: DataFrame) -> DataFrame:
     d, h, k = (F.col(c) for c in names)
     out = documents.join(kept, documents["doc_id"].eqNullSafe(d) & (F.xxhash64(documents["text"]) == h), "left")
     lines = F.split(documents["text"], "\n")
-    blank = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.trim(_flat(F.get(lines, i))) == "")
+    blank = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.trim(F.get(lines, i)) == "")
     text = F.array_join(F.transform(F.sort_array(F.concat(k, blank)), lambda i: F.get(lines, i)), "\n")
-    had = F.trim(F.replace(_flat(documents["text"]), F.lit("\n"), F.lit(" "))) != ""
+    had = F.trim(F.replace(documents["text"], F.lit("\n"), F.lit(" "))) != ""
     out = out.filter(k.isNotNull() | ~F.coalesce(had, F.lit(False)))
     return out.select(*[F.when(k.isNotNull(), text).otherwise(documents[c]).alias(c) if c == "text" else documents[f"`{c}`"] for c in documents.columns])

@@ -86,7 +86,7 @@ from doc left join covered using (doc_id) left join named using (doc_id)
 """
 
 OP10_SQL = r"""
-with raw as (select doc_id, string_split(translate(lower(text), chr(9) || chr(11) || chr(12) || chr(13), '    '), chr(10)) ls from documents),
+with raw as (select doc_id, string_split(text, chr(10)) ls from documents),
 line as (
   select doc_id, i - 1 line_no, list_sort(list_distinct(list_filter(string_split(ls[i], ' '), lambda w: w <> ''))) w
   from (select doc_id, ls, unnest(range(1, len(ls) + 1)) i from raw)
