@@ -250,3 +250,9 @@ def output_name(path: str, kind: str) -> str:
     if kind == "container":
         return path[:-4] if path.endswith(".msz") else path + ".mzML"
     return path + ".msz"
+
+
+def extract_name(path: str) -> str:
+    """Where chosen spectra go if no output is named: beside the input, as a document."""
+    folder, name = os.path.split(path)
+    return os.path.join(folder, "extract_" + re.sub(r"\.[^.]*$", "", name) + ".mzML")

@@ -96,7 +96,7 @@ def main(argv: list[str] | None = None) -> int:
                 else:
                     print(f.format)
             elif a.extract:
-                _write(a.output or re.sub(r"(\.[^./]*)?$", ".extract.mzML", a.input, count=1), f.extract(chosen))
+                _write(a.output or api.extract_name(a.input), f.extract(chosen))
             elif kind == "document":
                 f.compress(out, options, chosen if picked else None)
             elif picked:

@@ -42,6 +42,13 @@ def is_document(head: bytes) -> bool:
     return INDEXED_MARK in head[:512]
 
 
+def source_name(head: bytes) -> str | None:
+    """The name of the file that a document was made from, by its first 4096 bytes."""
+    m = re.search(rb"<sourceFile\b([^>]*)>", head[:4096])
+    name = _attributes(m.group(1)).get(b"name") if m else None
+    return name.decode("utf-8", "replace") if name is not None else None
+
+
 def _attributes(raw: bytes) -> dict[bytes, bytes]:
     return {k: a or b for k, a, b in _ATTRIBUTE.findall(raw)}
 

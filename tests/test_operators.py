@@ -3,7 +3,7 @@ import os
 import pytest
 from pyspark.sql import functions as F
 
-from peakloom.functions import columns, table
+from peakloom.functions import columns, picture, table
 from peakloom.operators import analysis, prefix, selection
 from peakloom.sources import mzml
 from peakloom.streaming import ingest
@@ -107,3 +107,19 @@ def test_windows(spark, sf):
     events = spark.read.parquet(f"{sf}/events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
     out = ingest.windowed_current(events, "ts", F.col("value"))
     assert out.agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_pictures(spark, sf):
+    import struct
+    import zlib
+
+    assert picture.hex_to_rgb("#0a10ff") == (10, 16, 255)
+    colours = picture.colour_map(("#000000", "#ff0000"), 256)
+    assert colours[0].tolist() == [0, 0, 0] and colours[255].tolist() == [255, 0, 0] and colours[128].tolist() == [128, 0, 0]
+    cells = spark.createDataFrame([(1.0, 0, 0.0), (2.0, 1, 5.0)], "mz_bin double, rt_bin int, cell double")
+    made = picture.heat_map_png(cells)
+    width, height = struct.unpack(">2I", made[16:24])
+    assert made.startswith(b"\x89PNG") and (width, height) == (2, 2)
+    raw = zlib.decompress(made[made.index(b"IDAT") + 4 : -16])
+    assert raw[1:4] == bytes(picture.colour_map()[0]) and raw[4:7] == bytes(picture.colour_map()[255])
+    assert picture.heat_map_png(cells.limit(0)).startswith(b"\x89PNG") and picture.to_base64(b"abc") == "YWJj"

@@ -243,5 +243,10 @@ def test_command_line(both, tmp_path, capsys):
             cli.main([doc, *bad])
 
 
+def test_source_name():
+    assert mzml.source_name(made()) == "made.raw" and mzml.source_name(b"<mzML>") is None
+
+
 def test_output_names():
+    assert [api.extract_name(p) for p in ("/x/a.mzML", "a.b.msz", "/d.e/f")] == ["/x/extract_a.mzML", "extract_a.b.mzML", "/d.e/extract_f.mzML"]
     assert [api.output_name(p, k) for p, k in (("a.mzML", "document"), ("a", "document"), ("a.msz", "container"), ("a.x", "container"), ("a.txt", "external"))] == ["a.msz", "a.msz", "a", "a.x.mzML", "a.txt.msz"]
