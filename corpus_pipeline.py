@@ -42,9 +42,8 @@ def remove_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, lang, source, n_pieces, piece_ids, lossless."""
     text_batches(spark)
-    out = docs.select("doc_id", "lang", "source", "text", pieces.encode(F.col("text"), F.col("doc_id")).alias("piece_ids"))
-    out = out.withColumn("decoded", pieces.decode(F.col("piece_ids")))
-    return out.select("doc_id", "lang", "source", F.size("piece_ids").cast("bigint").alias("n_pieces"), "piece_ids", F.col("decoded").eqNullSafe(F.col("text")).alias("lossless"))
+    out = docs.select("doc_id", "lang", "source", pieces.encode_checked(F.col("text"), F.col("doc_id")).alias("p"))
+    return out.select("doc_id", "lang", "source", F.size("p.ids").cast("bigint").alias("n_pieces"), F.col("p.ids").alias("piece_ids"), "p.lossless")
 
 
 STAGES: list[tuple[str, Stage]] = [

@@ -17,7 +17,7 @@ from ..plans.session import ship
 #: Rows in an Arrow batch that carries whole texts: a batch of long documents must fit a Python worker.
 TEXT_BATCH_ROWS = "512"
 #: Bytes of text that the vectorised kernels work on at once.
-CHUNK_BYTES = 1 << 20
+CHUNK_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -46,11 +46,13 @@ def release(spark: SparkSession) -> None:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """A Parquet table in the shared folder: computed once, columnar and compressed, lineage cut."""
+    """A Parquet table in the shared folder: computed once, columnar, lineage cut.
+
+    With Spark's default codec: zstd's native buffers pile up outside the executors' heaps until a collection frees them."""
     spark = df.sparkSession
     release(spark)
     path = f"{shared_dir(spark).rstrip('/')}/peakloom-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
+    df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

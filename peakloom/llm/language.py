@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, chunks, text_batches
+from .common import CHUNK_BYTES, blobs, chunks, text_batches
 
 ORDER = 4
 TRAIN_BYTES = 8 << 20
@@ -74,9 +74,12 @@ class Table:
         return out
 
 
-def grams(texts: list[bytes], order: int = ORDER) -> tuple[np.ndarray, np.ndarray]:
-    """For every byte of the texts the byte with its `order` predecessors, as one integer; and the texts' lengths."""
-    raw = np.frombuffer(START[:order] + START[:order].join(texts), np.uint8)
+def grams(texts: list[bytes], order: int = ORDER, before: list[bytes] | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """For every byte of the texts the byte with its `order` predecessors, as one integer; and the texts' lengths.
+
+    before: what precedes each text, of `order` bytes; START by default."""
+    before = before or [START[:order]] * len(texts)
+    raw = np.frombuffer(b"".join(x for pair in zip(before, texts) for x in pair), np.uint8)
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
     key = np.zeros(max(0, len(raw) - order), np.uint64)
     for back in range(order + 1):
@@ -141,39 +144,50 @@ class Model:
         return out
 
     def bits(self, texts: list[bytes]) -> np.ndarray:
-        """Code lengths in bits: languages x texts."""
+        """Code lengths in bits: languages x texts. Long texts are coded in parts, each with the bytes before it as context."""
         out = np.zeros((len(self.languages), len(texts)))
-        for a, b in chunks(texts):
-            key, sizes = grams(texts[a:b], self.order)
-            some = np.flatnonzero(sizes)
-            if not len(some):
-                continue
-            begins = (np.cumsum(sizes) - sizes)[some]
-            row = self.symbols[-1].find(key)
-            new = np.flatnonzero(row < 0)
-            text_of = np.searchsorted(np.cumsum(sizes), new, "right")
-            row[new] = 0
-            for i, cost in enumerate(self.costs[-1]):
-                each = cost[row]
-                each[new] = 0
-                out[i, a + some] = np.add.reduceat(each, begins)
-            key = key[new]
-            for k in range(self.order, -1, -1):  # what no language has seen at this order escapes to the next
-                if not len(key):
-                    break
-                if k < self.order:
-                    row = self.symbols[k].find(key & _mask(k + 1))
-                    hit = row >= 0
-                    for i, cost in enumerate(self.costs[k]):
-                        out[i, a:b] += np.bincount(text_of[hit], cost[row[hit]], b - a)
-                    key, text_of = key[~hit], text_of[~hit]
-                context = self.contexts[k].find((key >> np.uint64(8)) & _mask(k))
-                known = context >= 0
-                for i, escape in enumerate(self.escapes[k]):
-                    out[i, a:b] += np.bincount(text_of[known], escape[context[known]], b - a)
-            out[:, a:b] += 8.0 * np.bincount(text_of, minlength=b - a) if len(key) else 0.0
+        owner, part, before = [], [], []
+        for k, t in enumerate(texts):
+            for at in range(0, max(len(t), 1), 2 * CHUNK_BYTES):
+                owner.append(k)
+                part.append(t[at : at + 2 * CHUNK_BYTES] if len(t) > 2 * CHUNK_BYTES else t)
+                before.append(t[at - self.order : at] if at else START[: self.order])
+        for a, b in chunks(part):
+            np.add.at(out, (slice(None), np.array(owner[a:b])), self._bits(part[a:b], before[a:b]))
         return out
 
+    def _bits(self, texts: list[bytes], before: list[bytes]) -> np.ndarray:
+        out = np.zeros((len(self.languages), len(texts)))
+        key, sizes = grams(texts, self.order, before)
+        some = np.flatnonzero(sizes)
+        if not len(some):
+            return out
+        begins = (np.cumsum(sizes) - sizes)[some]
+        row = self.symbols[-1].find(key)
+        new = np.flatnonzero(row < 0)
+        text_of = np.searchsorted(np.cumsum(sizes), new, "right")
+        row[new] = 0
+        for i, cost in enumerate(self.costs[-1]):
+            each = cost[row]
+            each[new] = 0
+            out[i, some] = np.add.reduceat(each, begins)
+        key = key[new]
+        add = lambda of, cost: np.bincount(of, cost, len(texts))
+        for k in range(self.order, -1, -1):  # what no language has seen at this order escapes to the next
+            if not len(key):
+                return out
+            if k < self.order:
+                row = self.symbols[k].find(key & _mask(k + 1))
+                hit = row >= 0
+                for i, cost in enumerate(self.costs[k]):
+                    out[i] += add(text_of[hit], cost[row[hit]])
+                key, text_of = key[~hit], text_of[~hit]
+            context = self.contexts[k].find((key >> np.uint64(8)) & _mask(k))
+            known = context >= 0
+            for i, escape in enumerate(self.escapes[k]):
+                out[i] += add(text_of[known], escape[context[known]])
+        return out + 8.0 * np.bincount(text_of, minlength=len(texts))
+
     def classify(self, texts: list[bytes]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, posterior, and bits per byte of its code."""
         bits = self.bits(texts)

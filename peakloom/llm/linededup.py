@@ -3,8 +3,9 @@
 A line is the set of its words (as they stand, split at spaces). A later line goes if an earlier line has a Jaccard
 similarity of at least THRESHOLD percent with it; lines are ordered by (doc_id, hash of the text, place in the text).
 
-1. Words are counted over all lines in BINS hash bins; the order of words is by count of the bin, then by hash. Any
-   order shared by all lines gives the same result, so bins only cost selectivity, and their table is of fixed size.
+1. Words are counted over all lines in BINS hash bins; the order of words is by the level of the bin's count, then by hash.
+   Any order shared by all lines gives the same result, so bins and levels only cost selectivity, and their table, the
+   one thing that reaches the driver, is of fixed size.
 2. Lines with equal sets collapse to a class with the position of its first line; copies are decided by that alone.
 3. Prefix filter: similar sets share one of their rarest n - ceil(t n) + 1 words. Each class emits those with its size, the
    word's place, and a parity signature (one bit a word, XOR-ed): two signatures differ in no more bits than the sets differ
@@ -25,6 +26,7 @@ from __future__ import annotations
 
 from functools import partial, reduce
 
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -32,7 +34,7 @@ from .common import free_name, stored
 
 #: Percent.
 THRESHOLD = 80
-BINS = 1 << 18
+BINS = 1 << 17
 #: Sets of up to SHORT words have a signature of 64 bits, of up to LONG words one of 128 bits, larger ones of 256.
 SHORT, LONG = 64, 192
 SIGNATURES = ("s1", "s2", "s3", "s4")
@@ -40,34 +42,34 @@ SIGNATURES = ("s1", "s2", "s3", "s4")
 BROADCAST_LINES = 1_000_000
 
 
-def _ranks(documents: DataFrame, bins: int) -> Column:
-    """A literal array: the place of each bin when bins are ordered by the number of words in them."""
+def _levels(documents: DataFrame, bins: int) -> Column:
+    """A literal array: how frequent the words of each bin are, two levels for each doubling of their count."""
     words = documents.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w")).filter("w <> ''")
-    counts = words.groupBy(F.xxhash64("w").bitwiseAND(bins - 1).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n")).collect()
-    count = [0] * bins
-    for r in counts:
-        count[r.bin] = r.n
-    rank = [0] * bins
-    for place, b in enumerate(sorted(range(bins), key=lambda b: (count[b], b))):
-        rank[b] = place
-    return F.from_json(F.lit(str(rank)), "array<int>")
+    counts = words.groupBy(F.xxhash64("w").bitwiseAND(bins - 1).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    found = counts.select("bin", F.floor(2 * F.log2(F.col("n") + 1)).cast("int").alias("level")).toArrow()
+    level = np.zeros(bins, np.int64)
+    level[found["bin"].to_numpy()] = found["level"].to_numpy()
+    return F.from_json(F.lit(str(level.tolist())), "array<int>")
+
+
+def _place(doc_id: Column, text: Column) -> Column:
+    """Where a document's lines begin in the order of all lines, as decimal(38): id, 30 bits of the text's hash, 31 bits left for
+    the line. Null ids come first. As one number it can be aggregated in place and joined on."""
+    whole = F.coalesce(doc_id.cast("decimal(20,0)"), F.lit("-9223372036854775809").cast("decimal(20,0)")) * F.lit(1 << 61).cast("decimal(19,0)")
+    return (whole + F.shiftleft(F.xxhash64(text).bitwiseAND((1 << 30) - 1), 31)).cast("decimal(38,0)")
 
 
 def _lines(documents: DataFrame) -> DataFrame:
-    """(doc_id, row_hash, line_no, line): every line that has a word."""
-    made = documents.select("doc_id", F.xxhash64("text").alias("row_hash"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return made.filter(F.trim("line") != "")
+    """(at, line): every line that has a word, and its place in the order of all lines."""
+    made = documents.select(_place(F.col("doc_id"), F.col("text")).alias("doc"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
+    return made.filter(F.trim("line") != "").select((F.col("doc") + F.col("line_no")).cast("decimal(38,0)").alias("at"), "line")
 
 
-def _words(line: Column, ranks: Column, bins: int) -> Column:
-    """The line's set as sorted integers, rarest first: rank of the bin above, rest of the hash below."""
-    bits = bins.bit_length() - 1
+def _words(line: Column, levels: Column, bins: int) -> Column:
+    """The line's set as sorted integers, rarest first: level of the word's bin above, 56 bits of its hash below."""
     hashes = F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w)))
-    keys = F.transform(
-        hashes,
-        lambda h: F.shiftleft(F.get(ranks, h.bitwiseAND(bins - 1).cast("int")).cast("bigint"), 63 - bits).bitwiseOR(F.shiftrightunsigned(h, bits + 1)),
-    )
-    return F.sort_array(keys)
+    level = lambda h: F.get(levels, h.bitwiseAND(bins - 1).cast("int")).cast("bigint")
+    return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(level(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
 
 
 def _parity(words: Column) -> Column:
@@ -124,18 +126,19 @@ def _prefix(words: Column, n: Column, t: int) -> Column:
     return F.slice(words, 1, (n - F.ceil(n * t / 100) + 1).cast("int"))
 
 
-def _classes(documents: DataFrame, ranks: Column, bins: int, t: int) -> DataFrame:
+def _classes(documents: DataFrame, levels: Column, bins: int, t: int) -> DataFrame:
     """(k1, k2, first, n, signatures, p) of each distinct set: hash, first place, size, signatures, prefix."""
-    made = _lines(documents).withColumn("w", _words(F.col("line"), ranks, bins)).withColumn("n", F.size("w"))
+    made = _lines(documents).withColumn("w", _words(F.col("line"), levels, bins)).withColumn("n", F.size("w"))
     made = made.select(
-        F.struct("doc_id", "row_hash", "line_no").alias("at"),
+        "at",
         F.xxhash64("w").alias("k1"),
         F.xxhash64(F.lit("second"), "w").alias("k2"),
         "n",
         *_signatures(F.col("w"), F.col("n")),
         _prefix(F.col("w"), F.col("n"), t).alias("p"),
     )
-    return made.groupBy("k1", "k2").agg(F.min("at").alias("first"), *[F.first(c).alias(c) for c in ("n", *SIGNATURES, "p")])
+    # what the hash decides goes into the key: with one number to aggregate, classes are hashed and never sorted
+    return made.groupBy("k1", "k2", "n", *SIGNATURES, "p").agg(F.min("at").alias("first"))
 
 
 def _similar(x: str, y: str, t: int) -> Column:
@@ -149,13 +152,13 @@ def _small(rows: DataFrame, most: int) -> DataFrame:
 
 
 def kept_lines(documents: DataFrame, threshold: int = THRESHOLD, bins: int = BINS, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
-    """(doc_id, row_hash, kept): of each document with a kept line the numbers of its kept lines, ascending.
+    """(doc, kept): of each document with a kept line its place (see _place) and the numbers of its kept lines, ascending.
 
-    Lines without a word aren't listed. Needs doc_id and text."""
+    Lines without a word aren't listed. Needs an integer doc_id, and text."""
     t = threshold
     documents = documents.select("doc_id", "text")
-    ranks = _ranks(documents, bins)
-    classes = stored(_classes(documents, ranks, bins, t))
+    levels = _levels(documents, bins)
+    classes = stored(_classes(documents, levels, bins, t))
 
     # candidates: classes with another one behind the filters, and the words where they meet
     entries = classes.select("k1", "n", *SIGNATURES, F.posexplode("p").alias("i", "word"))
@@ -166,10 +169,11 @@ def kept_lines(documents: DataFrame, threshold: int = THRESHOLD, bins: int = BIN
     # their lines again, now with all words
     found = stored(met.select("k1").distinct())
     wanted = stored(classes.join(_small(found, broadcast_lines), "k1", "left_semi").select("k1", "k2", "first", "n", *SIGNATURES))
-    lines = _lines(documents)
-    at = lines["doc_id"].eqNullSafe(F.col("first.doc_id")) & (lines["row_hash"] == F.col("first.row_hash")) & (lines["line_no"] == F.col("first.line_no"))
-    full = lines.join(_small(wanted, broadcast_lines), at).select("k1", "k2", "first", "n", *SIGNATURES, "line").dropDuplicates(["k1", "k2"])
-    full = stored(full.withColumn("line", _words(F.col("line"), ranks, bins)).withColumnRenamed("line", "w"))
+    of_line = F.pmod(F.col("first"), F.lit(1 << 31).cast("decimal(38,0)"))
+    mine = _small(wanted.select((F.col("first") - of_line).cast("decimal(38,0)").alias("d")).distinct(), broadcast_lines)
+    lines = _lines(documents.join(mine, _place(F.col("doc_id"), F.col("text")) == F.col("d"), "left_semi"))
+    full = lines.join(_small(wanted, broadcast_lines), F.col("at") == F.col("first")).select("k1", "k2", "first", "n", *SIGNATURES, "line").dropDuplicates(["k1", "k2"])
+    full = stored(full.withColumn("line", _words(F.col("line"), levels, bins)).withColumnRenamed("line", "w"))
 
     # an earlier class that is really similar. The earliest class of a word is tried first: in a cluster that settles nearly
     # all with one pair each. What it leaves open, and has another candidate, is joined with all of them.
@@ -193,27 +197,26 @@ def kept_lines(documents: DataFrame, threshold: int = THRESHOLD, bins: int = BIN
     found = rest.join(words, ["k1", "k2"]).alias("x").join(others.alias("y"), before & _similar("x.w", "y.w", t), "left_semi").select("x.k1", "x.k2")
     later = stored(settled.union(found.distinct()))
     kept = classes.select("k1", "k2", "first").join(_small(later, broadcast_lines), ["k1", "k2"], "left_anti")
-    kept = kept.groupBy(F.col("first.doc_id").alias("doc_id"), F.col("first.row_hash").alias("row_hash"))
-    return kept.agg(F.sort_array(F.collect_list("first.line_no")).alias("kept"))
+    kept = kept.select((F.col("first") - of_line).cast("decimal(38,0)").alias("doc"), of_line.cast("int").alias("line_no"))
+    return kept.groupBy("doc").agg(F.sort_array(F.collect_list("line_no")).alias("kept"))
 
 
 def report(documents: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_kept, kept_lines of every document: its lines with a word, how many stay, their numbers."""
     kept = kept_lines(documents)
     own = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
-    rows = documents.select(F.col("doc_id").alias("d"), F.xxhash64("text").alias("h"), F.when(F.col("text").isNull(), 0).otherwise(own).alias("n_lines"))
-    out = rows.join(kept, F.col("d").eqNullSafe(F.col("doc_id")) & (F.col("h") == F.col("row_hash")), "left")
+    rows = documents.select(F.col("doc_id").alias("d"), _place(F.col("doc_id"), F.col("text")).alias("place"), F.when(F.col("text").isNull(), 0).otherwise(own).alias("n_lines"))
+    out = rows.join(kept, F.col("place") == F.col("doc"), "left")
     stays = F.coalesce("kept", F.array().cast("array<int>"))
     return out.select(F.col("d").alias("doc_id"), F.col("n_lines").cast("bigint").alias("n_lines"), F.size(stays).cast("bigint").alias("n_kept"), F.array_join(stays.cast("array<string>"), ",").alias("kept_lines"))
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:
     """The documents without the lines that repeat an earlier one; those that lose all their words go. Columns unchanged."""
-    kept = kept_lines(documents).select(F.col("doc_id").alias("_d"), F.col("row_hash").alias("_h"), F.col("kept").alias("_kept"))
-    names = [free_name(documents, c) for c in ("_d", "_h", "_kept")]
-    kept = kept.toDF(*names)
-    d, h, k = (F.col(c) for c in names)
-    out = documents.join(kept, documents["doc_id"].eqNullSafe(d) & (F.xxhash64(documents["text"]) == h), "left")
+    names = [free_name(documents, c) for c in ("_doc", "_kept")]
+    kept = kept_lines(documents).toDF(*names)
+    d, k = (F.col(c) for c in names)
+    out = documents.join(kept, _place(documents["doc_id"], documents["text"]) == d, "left")
     lines = F.split(documents["text"], "\n")
     blank = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.trim(F.get(lines, i)) == "")
     text = F.array_join(F.transform(F.sort_array(F.concat(k, blank)), lambda i: F.get(lines, i)), "\n")

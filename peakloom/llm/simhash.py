@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import blobs, boundaries, checkpoint, chunks, free_name, text_batches
+from .common import CHUNK_BYTES, blobs, boundaries, checkpoint, chunks, free_name, text_batches
 from .graph import components
 
 RADIUS = 3
@@ -37,7 +37,46 @@ SEED = 42
 _ONES = np.uint64(0xFFFFFFFFFFFFFFFF)
 
 
+def _bit_sums(hashes: list[int], first: np.ndarray) -> np.ndarray:
+    """How often each of the 64 bits is set, from each of the `first` places to the next."""
+    all_hashes = np.array(hashes, np.uint64)
+    sums = np.zeros((len(first), 64), np.int64)
+    for j in range(8):  # one byte of the hashes at a time keeps the unpacked bits small
+        byte = (all_hashes >> np.uint64(8 * j)).astype(np.uint8)
+        bits = np.unpackbits(byte[:, None], axis=1, bitorder="little")
+        sums[:, 8 * j : 8 * j + 8] = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+    return sums
+
+
+def _shingle_hashes(words: list[bytes], width: int) -> list[int]:
+    """Hashes of all runs of `width` words."""
+    digest = xxhash.xxh64_intdigest
+    joined = b" ".join(words)
+    ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
+    starts = np.r_[0, ends[:-1] + 1]
+    return [digest(joined[a:b], SEED) for a, b in zip(starts[: len(words) - width + 1].tolist(), ends[width - 1 :].tolist())]
+
+
+def _long_fingerprint(text: bytes, width: int) -> np.uint64 | None:
+    """The fingerprint of a long text, a part at a time; None if it has no more words than a shingle."""
+    sums, n, at, held = np.zeros(64, np.int64), 0, 0, []
+    while at < len(text):
+        stop = min(len(text), at + CHUNK_BYTES)
+        while stop < len(text) and not text[stop : stop + 1].isspace():
+            stop += 1
+        words = held + text[at:stop].lower().split()
+        at = stop
+        if len(words) >= width:
+            hashes = _shingle_hashes(words, width)
+            sums += _bit_sums(hashes, np.zeros(1, np.int64))[0]
+            n += len(hashes)
+        held = words[max(0, len(words) - width + 1) :]
+    return np.packbits(2 * sums > n, bitorder="little").view("<u8")[0] if n else None
+
+
 def _fingerprint_chunk(texts: list[bytes], width: int) -> np.ndarray:
+    if len(texts) == 1 and len(texts[0]) > 2 * CHUNK_BYTES and (long := _long_fingerprint(texts[0], width)) is not None:
+        return np.array([long], np.uint64)
     digest = xxhash.xxh64_intdigest
     hashes: list[int] = []
     counts = np.zeros(len(texts), np.int64)
@@ -45,25 +84,16 @@ def _fingerprint_chunk(texts: list[bytes], width: int) -> np.ndarray:
         words = text.lower().split()
         if not words:
             continue
-        joined = b" ".join(words)
         if len(words) <= width:
-            hashes.append(digest(joined, SEED))
+            hashes.append(digest(b" ".join(words), SEED))
             counts[k] = 1
             continue
-        ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
-        starts = np.r_[0, ends[:-1] + 1]
-        hashes += [digest(joined[a:b], SEED) for a, b in zip(starts[: 1 - width].tolist(), ends[width - 1 :].tolist())]
+        hashes += _shingle_hashes(words, width)
         counts[k] = len(words) - width + 1
     out = np.zeros(len(texts), np.uint64)
     full = np.flatnonzero(counts)
     if len(full):
-        first = np.r_[0, np.cumsum(counts[full])[:-1]]
-        all_hashes = np.array(hashes, np.uint64)
-        sums = np.zeros((len(full), 64), np.int64)
-        for j in range(8):  # one byte of the hashes at a time keeps the unpacked bits small
-            byte = (all_hashes >> np.uint64(8 * j)).astype(np.uint8)
-            bits = np.unpackbits(byte[:, None], axis=1, bitorder="little")
-            sums[:, 8 * j : 8 * j + 8] = np.add.reduceat(bits, first, axis=0, dtype=np.int32)
+        sums = _bit_sums(hashes, np.r_[0, np.cumsum(counts[full])[:-1]])
         over = (2 * sums > counts[full][:, None]).astype(np.uint8)
         out[full] = np.packbits(over, axis=1, bitorder="little").view("<u8").ravel()
     return out

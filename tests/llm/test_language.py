@@ -2,6 +2,7 @@ import math
 import zlib
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from peakloom.llm import language
@@ -45,11 +46,13 @@ def test_code_lengths(order):
             assert got[i, k] == pytest.approx(brute_bits(t, SAMPLES[name], order), abs=1e-6), (name, t)
 
 
-def test_chunks_change_nothing(monkeypatch):
+def test_parts_change_nothing(monkeypatch):
     model = language.Model.fit(SAMPLES)
-    texts = [b"the cat sat" * k for k in range(30)] + [b"qqq \x80"]
+    texts = [b"the cat sat" * k for k in range(30)] + [b"qqq \x80", b""]
     whole = model.bits(texts)
-    assert (whole == [[model.bits([t])[i, 0] for t in texts] for i in range(3)]).all()
+    assert np.allclose(whole, np.column_stack([model.bits([t])[:, 0] for t in texts]))
+    monkeypatch.setattr(language, "CHUNK_BYTES", 7)
+    assert np.allclose(whole, model.bits(texts))
 
 
 def test_held_out_accuracy(spark):

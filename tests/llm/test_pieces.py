@@ -82,6 +82,8 @@ def test_columns(spark, v):
     df = spark.createDataFrame([(None if k == 3 else k, t, "z") for k, t in enumerate(ODD)], "doc_id bigint, text string, ids string")
     got = df.withColumn("out", pieces.encode(F.col("text"), F.col("doc_id"))).withColumn("back", pieces.decode(F.col("out"))).collect()
     assert all(r.back == r.text and (r.out is None) == (r.text is None) for r in got)
+    checked = df.select("doc_id", pieces.encode_checked(F.col("text"), F.col("doc_id")).alias("p")).collect()
+    assert {r.doc_id: r.p and r.p.ids for r in checked} == {r.doc_id: r.out for r in got} and all(r.p.lossless for r in checked if r.p)
     trips = {r.doc_id: r for r in pieces.round_trips(df).collect()}
     assert all(r.lossless for k, r in trips.items() if k != 1) and trips[1].n_pieces is None and trips[0].n_pieces == 0
     assert {r.doc_id: len(r.out) for r in got if r.out is not None} == {k: r.n_pieces for k, r in trips.items() if k != 1}

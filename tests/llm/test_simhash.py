@@ -48,6 +48,15 @@ def test_fingerprints():
     assert got.tolist() == [brute_fingerprint(t) for t in TEXTS]
 
 
+def test_long_texts_in_parts(monkeypatch):
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(["the", "cat", "ÖÄ", "x" * 30, "a\u00a0b"]) for _ in range(n)) + rng.choice(["", " \n", "\t"]) for n in (3, 4, 5, 50, 400)] + [" " * 300, "one" + " " * 300 + "two", "y" * 500]
+    want = [brute_fingerprint(t) for t in texts]
+    monkeypatch.setattr(simhash, "CHUNK_BYTES", 16)
+    assert simhash.fingerprints_of([t.encode() for t in texts]).tolist() == want
+    assert [simhash.fingerprints_of([t.encode()])[0] for t in texts] == want
+
+
 @pytest.mark.parametrize("radius", [0, 1, 2, 3])
 def test_close_pairs_match_popcount(radius):
     rng = np.random.default_rng(radius)
