@@ -46,13 +46,15 @@ def release(spark: SparkSession) -> None:
 
 
 def stored(df: DataFrame) -> DataFrame:
-    """A Parquet table in the shared folder: computed once, columnar, lineage cut.
+    """A Parquet table in the shared folder: computed once, columnar, lineage cut; deleted when the driver ends.
 
     With Spark's default codec: zstd's native buffers pile up outside the executors' heaps until a collection frees them."""
     spark = df.sparkSession
     release(spark)
     path = f"{shared_dir(spark).rstrip('/')}/peakloom-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
 
 
