@@ -213,11 +213,11 @@ def report(documents: DataFrame) -> DataFrame:
 
 def deduplicate(documents: DataFrame) -> DataFrame:
     """The documents without the lines that repeat an earlier one; those that lose all their words go. Columns unchanged."""
-    names = [free_name(documents, c) for c in ("_doc", "_kept")]
-    kept = kept_lines(documents).toDF(*names)
-    d, k = (F.col(c) for c in names)
+    names = [free_name(documents, c) for c in ("_doc", "_kept", "_lines")]
+    kept = kept_lines(documents).toDF(*names[:2])
+    d, k, lines = (F.col(c) for c in names)
     out = documents.join(kept, _place(documents["doc_id"], documents["text"]) == d, "left")
-    lines = F.split(documents["text"], "\n")
+    out = out.withColumn(names[2], F.split(documents["text"], "\n"))  # a column: inside the lambdas it would be split for each line
     blank = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.trim(F.get(lines, i)) == "")
     text = F.array_join(F.transform(F.sort_array(F.concat(k, blank)), lambda i: F.get(lines, i)), "\n")
     had = F.trim(F.replace(documents["text"], F.lit("\n"), F.lit(" "))) != ""
