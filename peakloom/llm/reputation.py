@@ -150,8 +150,11 @@ def _level(units: DataFrame) -> float:
 def reputations(outcomes: DataFrame, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame:
     """(host, domain, suffix, n, bad, prior, worth, rate, bound, blocked) of every host.
 
-    outcomes: host, bad (boolean, null where a page has no label); hosts of unlabelled pages get a verdict too."""
-    hosts = outcomes.groupBy("host").agg(F.count("bad").cast("double").alias("n"), F.sum(F.coalesce(F.col("bad").cast("int"), F.lit(0))).cast("double").alias("bad"))
+    outcomes: host, bad (boolean, null where a page has no label), perhaps pages (how many pages a row stands for, else one);
+    hosts of unlabelled pages get a verdict too."""
+    pages = F.col("pages") if "pages" in outcomes.columns else F.lit(1)
+    sums = [F.sum(F.when(c, pages).otherwise(0)).cast("double").alias(name) for name, c in (("n", F.col("bad").isNotNull()), ("bad", F.col("bad")))]
+    hosts = outcomes.groupBy("host").agg(*sums)
     hosts = checkpoint(hosts.select("host", domain_of(F.col("host")).alias("domain"), suffix_of(F.col("host")).alias("suffix"), "n", "bad"))
     total = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     mean = (total.bad + 0.5) / (total.n + 1.0) if total.n else 0.5
@@ -182,10 +185,11 @@ def reputations(outcomes: DataFrame, confidence: float = CONFIDENCE, lift: float
 
 
 def outcomes_by_text(pages: DataFrame, documents: DataFrame, labels: DataFrame) -> DataFrame:
-    """(host, bad) of every page: a page is labelled if its article is the text of a labelled document.
+    """(host, bad, pages): how many pages of each host have which outcome; a page is labelled if its article is the text of a
+    labelled document.
 
     bad: quality 0 or toxic, by any label of that text. Articles and texts meet by XXH64 over their text without white space,
-    so only slim rows are shuffled; copies of a text collapse before the join. The article's heading, a
+    so only slim rows are shuffled; copies of a text collapse on both sides before they meet. The article's heading, a
     copy of the text's beginning, is dropped if the rest begins with it."""
     spark = pages.sparkSession
     text_batches(spark)
@@ -193,10 +197,10 @@ def outcomes_by_text(pages: DataFrame, documents: DataFrame, labels: DataFrame)
     first, rest = F.substring_index("text", "\n", 1), F.expr("substring(text, instr(text, '\n') + 1)")
     body = F.when(F.col("text").contains("\n") & rest.startswith(F.rtrim(first)), rest).otherwise(F.col("text"))
     squeezed = lambda c: F.xxhash64(F.regexp_replace(c, r"\s+", ""))
-    rows = rows.select("host", squeezed(body).alias("h"))
+    rows = rows.select("host", squeezed(body).alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("pages"))
     marks = labels.groupBy("doc_id").agg(F.max((F.col("quality") == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)).alias("bad")).filter("bad is not null")
     known = documents.filter("text is not null").select("doc_id", squeezed(F.col("text")).alias("h")).join(marks, "doc_id").groupBy("h").agg(F.max("bad").alias("bad"))
-    return rows.join(known, "h", "left").select("host", "bad")
+    return rows.join(known, "h", "left").groupBy("host", "bad").agg(F.sum("pages").alias("pages"))
 
 
 def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
