@@ -5,25 +5,28 @@
 2. Over the frames x 12 image an integral image is kept, so that the sum of any rectangle takes four lookups. Sixteen
    filters (rectangle against rectangle, in time, in pitch, or in a checkerboard; sizes by rule) compare log sums; each
    gives two bits (Gray code of four levels). Together they pack into one 32-bit integer for every frame position.
-3. Equal fingerprints collapse to a class (its smallest id). An inverted index (integer -> class, position) meets the
-   integers of the queries; votes by (query, class, offset) are an offset histogram, partially aggregated.
-4. The best offset of each pair is verified: bit errors over the overlap of both fingerprints, at most MAX_BER of the bits.
-
-A hot integer (silence, a drone) is an ordinary join key: adaptive execution splits it; nothing is dropped. Null or too
-short audio has an empty fingerprint, is a class of its own kind and matches nothing. Ties between offsets go to the smaller
-absolute, then smaller, offset. A null id is kept as a member, never a query.
+3. Equal fingerprints collapse to a class (its smallest id). The queries are broadcast, in slices; every query meets every
+   class at every offset, as a cross-correlation of their bits by Fourier transforms, so no alignment is missed.
+4. What comes near the limit is counted exactly: bit errors over the overlap of both fingerprints, at most MAX_BER of the
+   bits, the overlap at least MIN_OVERLAP. Of a pair's alignments the one with most votes (identical integers) stays.
+
+Work grows with queries times classes; rows don't. Null or too short audio has an empty fingerprint, is a class of its own
+kind and matches nothing. Ties between offsets go to the smaller share of bit errors, then to the smaller absolute, then
+smaller, offset. A null id is kept as a member, never a query.
 """
 
 from __future__ import annotations
 
 import io
 import wave
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..plans.session import ship
 from .common import checkpoint, text_batches
 
 RATE = 4000
@@ -31,9 +34,11 @@ FRAME = 1024
 #: Levels between which a filter's log ratio falls, and the longest filter in frames.
 LEVELS = (-0.35, 0.0, 0.35)
 SPAN = 8
-MIN_VOTES = 3
 MIN_OVERLAP = 16
 MAX_BER = 0.2
+#: Positions of queries that are broadcast at once, and numbers that the correlation works on at once.
+SLICE = 1 << 22
+CHUNK = 1 << 21
 #: Audio takes much room: rows in an Arrow batch that carries it.
 AUDIO_ROWS = 256
 
@@ -134,7 +139,104 @@ def fingerprint(audio: Column, rate: int = RATE) -> Column:
     return packed.asNondeterministic()(audio)
 
 
-def align(recordings: DataFrame, queries: Column, min_votes: int = MIN_VOTES, max_ber: float = MAX_BER) -> DataFrame:
+def _spectra(prints: list[np.ndarray], n: int) -> np.ndarray:
+    """Transforms (frequencies x fingerprints x 32) of the bits as -1 and 1, zero past the end."""
+    bits = np.zeros((len(prints), n, 32), np.float32)
+    for k, p in enumerate(prints):
+        bits[k, : len(p)] = 2.0 * np.unpackbits(p.view(np.uint8)).reshape(-1, 32) - 1
+    return np.fft.rfft(bits, axis=1).transpose(1, 0, 2)
+
+
+def _chunks(prints: list[np.ndarray], most: int) -> Iterator[np.ndarray]:
+    """Numbers of fingerprints long enough to align, by length: up to `most`, fewer if long, none over twice as long as another."""
+    size = np.array([len(p) for p in prints], int)
+    held: list[int] = []
+    for k in np.argsort(size, kind="stable").tolist():
+        if size[k] < MIN_OVERLAP:
+            continue
+        if held and (len(held) >= most or size[k] > 2 * size[held[0]] or (len(held) + 1) * size[k] * 64 > 2 * CHUNK):
+            yield np.array(held)
+            held = []
+        held.append(k)
+    if held:
+        yield np.array(held)
+
+
+def alignments(asked: list[np.ndarray], others: list[np.ndarray], max_ber: float = MAX_BER) -> Iterator[tuple[int, int, int, int, int, int]]:
+    """(number in asked, number in others, offset, votes, overlap, bit errors) of each pair that aligns, at its best offset.
+
+    All offsets are tried. The correlation over an overlap of L integers is 32 L less twice the bit errors; it selects with a
+    margin far above its rounding, and what it selects is counted bit by bit."""
+    for left in _chunks(asked, 128):
+        size_a = np.array([len(asked[k]) for k in left])
+        for right in _chunks(others, 128):
+            size_b = np.array([len(others[k]) for k in right])
+            n = 1 << int(size_a[-1] + size_b[-1] - 1).bit_length()
+            low, high = int(size_a[-1]) - MIN_OVERLAP, int(size_b[-1]) - MIN_OVERLAP
+            offset = np.arange(-low, high + 1)
+            spectra = _spectra([others[k] for k in right], n)
+            step = max(1, CHUNK // (n * len(right)))
+            for first in range(0, len(left), step):
+                own = left[first : first + step]
+                product = np.matmul(_spectra([asked[k] for k in own], n).conj(), spectra.transpose(0, 2, 1))
+                corr = np.fft.irfft(product, n, axis=0)[offset % n]
+                la, lb = (x[:1] if x[0] == x[-1] else x for x in (size_a[first : first + step], size_b))
+                overlap = np.minimum((la + np.minimum(offset, 0)[:, None])[:, :, None], (lb - np.maximum(offset, 0)[:, None])[:, None])
+                least = 32 * (1 - 2 * max_ber) * overlap - 1 - 1e-3 * 32 * min(size_a[-1], size_b[-1])
+                near = corr >= np.where(overlap >= MIN_OVERLAP, least, np.inf).astype(np.float32)
+                best: dict[tuple[int, int], tuple] = {}
+                for o, i, j in np.argwhere(near).tolist():
+                    at = int(offset[o])
+                    x, y = asked[own[i]][max(-at, 0) :], others[right[j]][max(at, 0) :]
+                    length = min(len(x), len(y))
+                    x = x[:length] ^ y[:length]
+                    errors, votes = int(np.bitwise_count(x.view(np.uint32)).sum(dtype=np.int64)), length - int(np.count_nonzero(x))
+                    if round(errors / (32 * length), 6) <= max_ber:
+                        rank = votes, -errors / length, -abs(at), -at, length, errors
+                        best[i, j] = max(best.get((i, j), rank), rank)
+                for (i, j), (votes, _, _, back, length, errors) in best.items():
+                    yield int(own[i]), int(right[j]), -back, votes, length, errors
+
+
+def search(classes: DataFrame, max_ber: float = MAX_BER) -> DataFrame:
+    """(asked, class_id, offset, votes, overlap, bit_errors) of every query among the classes (columns class_id, query, fp)."""
+    spark = classes.sparkSession
+    ship(spark)
+    usable = classes.filter(F.size("fp") >= MIN_OVERLAP)
+    wanted = usable.filter("query")
+    slices = -(-(wanted.agg(F.sum(F.size("fp"))).first()[0] or 0) // SLICE)
+    kind = classes.schema["class_id"].dataType.simpleString()
+    schema = f"asked {kind}, class_id {kind}, offset int, votes bigint, overlap int, bit_errors bigint"
+    tasks = max(2 * spark.sparkContext.defaultParallelism, classes.rdd.getNumPartitions())
+    usable = usable.select("class_id", "fp").repartition(tasks)
+
+    def prints(column: pa.Array) -> list[np.ndarray]:
+        flat = column.flatten().to_numpy()
+        return np.split(flat, np.cumsum(column.value_lengths().to_numpy())[:-1]) if len(column) else []
+
+    def slice_of(k: int) -> DataFrame:
+        table = wanted.filter(F.pmod(F.xxhash64("class_id"), F.lit(slices)) == k).select("class_id", "fp").toArrow().combine_chunks()
+        names = table.column(0).to_pylist()
+        held = spark.sparkContext.broadcast((names, prints(table.column(1).combine_chunks())))
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            names, asked = held.value
+            for batch in batches:
+                own = batch.column(0).to_pylist()
+                found = [(names[i], own[j], *rest) for i, j, *rest in alignments(asked, prints(batch.column(1)), max_ber) if names[i] != own[j]]
+                types = [batch.schema.field(0).type] * 2 + [pa.int32(), pa.int64(), pa.int32(), pa.int64()]
+                columns = zip(*found) if found else [()] * len(types)
+                yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, types)], names=["asked", "class_id", "offset", "votes", "overlap", "bit_errors"])
+
+        return usable.mapInArrow(run, schema)
+
+    out = spark.createDataFrame([], schema)
+    for k in range(slices):
+        out = out.unionByName(slice_of(k))
+    return out
+
+
+def align(recordings: DataFrame, queries: Column, max_ber: float = MAX_BER) -> DataFrame:
     """Matches of the queries among all recordings (columns id, fp).
 
     Rows: (kind, id, class_id, offset, votes, overlap, bit_errors, ber). kind `member`: recording `id` belongs to class
@@ -147,24 +249,7 @@ def align(recordings: DataFrame, queries: Column, min_votes: int = MIN_VOTES, ma
     classes = checkpoint(classes)
     members = rows.join(classes.select("k1", "k2", "class_id"), ["k1", "k2"], "left").select("id", "class_id")
 
-    index = classes.select("class_id", F.posexplode("fp").alias("pos", "h"))
-    asked = classes.filter("query").select(F.col("class_id").alias("asked"), F.posexplode("fp").alias("at", "h"))
-    votes = asked.join(index, "h").filter("asked <> class_id").groupBy("asked", "class_id", (F.col("pos") - F.col("at")).alias("offset")).agg(F.count(F.lit(1)).alias("votes"))
-    best = votes.groupBy("asked", "class_id").agg(F.max(F.struct("votes", (-F.abs("offset")).alias("near"), (-F.col("offset")).alias("low"))).alias("b"))
-    best = best.filter(F.col("b.votes") >= min_votes).select("asked", "class_id", (-F.col("b.low")).alias("offset"), F.col("b.votes").alias("votes"))
-
-    left = classes.select(F.col("class_id").alias("asked"), F.col("fp").alias("fa"))
-    right = classes.select("class_id", F.col("fp").alias("fb"))
-    pairs = best.join(left, "asked").join(right, "class_id")
-    skip_a, skip_b = F.greatest(-F.col("offset"), F.lit(0)), F.greatest(F.col("offset"), F.lit(0))
-    length = F.least(F.size("fa") - skip_a, F.size("fb") - skip_b)
-    errors = F.aggregate(
-        F.zip_with(F.slice("fa", skip_a + 1, length), F.slice("fb", skip_b + 1, length), lambda x, y: F.bit_count(x.bitwiseXOR(y))),
-        F.lit(0).cast("bigint"),
-        lambda s, x: s + x,
-    )
-    pairs = pairs.withColumn("overlap", length).filter(F.col("overlap") >= MIN_OVERLAP).withColumn("bit_errors", errors)
-    pairs = pairs.withColumn("ber", F.round(F.col("bit_errors") / (F.col("overlap") * 32), 6)).filter(F.col("ber") <= max_ber)
+    pairs = search(classes, max_ber).withColumn("ber", F.round(F.col("bit_errors") / (F.col("overlap") * 32), 6))
     null = lambda t: F.lit(None).cast(t)
     return members.select(F.lit("member").alias("kind"), "id", "class_id", *[null(t).alias(n) for n, t in (("offset", "int"), ("votes", "bigint"), ("overlap", "int"), ("bit_errors", "bigint"), ("ber", "double"))]).unionByName(
         pairs.select(F.lit("match").alias("kind"), F.col("asked").alias("id"), "class_id", "offset", "votes", "overlap", "bit_errors", "ber")

@@ -112,3 +112,37 @@ def test_vectors(spark, sf):
     member = {r.id: r.class_id for r in rows if r.kind == "member"}
     assert member[10**6 + 1] == 0 and len(member) == vectors.count() + 5
     assert media.align_vectors(vectors.limit(0)).count() == 0
+
+
+def test_alignment_is_exhaustive(spark):
+    """Every pair within MAX_BER of each other at some offset is found, whether or not any integer is the same."""
+    rng = np.random.default_rng(5)
+    base = [rng.integers(0, 1 << 32, int(n), dtype=np.uint32) for n in (16, 20, 33, 56, 56, 130)]
+    rows = {100 * k: x for k, x in enumerate(base)}
+    for k in range(90):
+        x = base[k % 6]
+        cut = int(rng.integers(0, len(x) - 15))
+        rate = (0.05, 0.15, 0.19, 0.2, 0.21)[k % 5]
+        x = np.concatenate([rng.integers(0, 1 << 32, int(rng.integers(0, 9)), dtype=np.uint32), x[cut:]])
+        flips = rng.random((len(x), 32)) < rate
+        if k % 4 == 0:
+            flips[:, 0] |= ~flips.any(axis=1)  # no integer stays the same
+        rows[1000 + 7 * k + 1] = x ^ np.packbits(flips, axis=1).view(">u4").ravel().astype(np.uint32)
+    queries = [k for k in rows if k % 100 == 0]
+    want = {}
+    for q in queries:
+        for c in rows:
+            if q != c:
+                for o in range(16 - len(rows[q]), len(rows[c]) - 15):
+                    a, b = rows[q][max(0, -o) :], rows[c][max(0, o) :]
+                    n = min(len(a), len(b))
+                    errors = int(np.bitwise_count(a[:n] ^ b[:n]).sum())
+                    if n >= media.MIN_OVERLAP and round(errors / (32 * n), 6) <= media.MAX_BER:
+                        want.setdefault((q, c), {})[o] = n, errors, int((a[:n] == b[:n]).sum())
+    assert sum(max(v for _, _, v in w.values()) < 3 for w in want.values()) > 20
+    df = spark.createDataFrame([(k, x.view(np.int32).tolist()) for k, x in rows.items()], "id bigint, fp array<int>")
+    match = {(r.id, r.class_id): r for r in media.align(df, F.col("id") % 100 == 0).collect() if r.kind == "match"}
+    assert set(match) == set(want)
+    for pair, r in match.items():
+        best = min(want[pair].items(), key=lambda x: (-x[1][2], x[1][1] / x[1][0], abs(x[0]), x[0]))
+        assert (r.offset, (r.overlap, r.bit_errors, r.votes)) == best
