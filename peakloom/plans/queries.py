@@ -429,6 +429,12 @@ def base64_roundtrip(spark, d):
     return rows.select("doc_id", F.regexp_replace("b64", "[\r\n]", "").alias("b64"), F.decode(F.unbase64("b64"), "UTF-8").alias("restored"))
 
 
+@query("select doc_id, to_base64(encode(text)) as b64, text as restored from documents")
+def base64_whole(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.base64(F.encode("text", "UTF-8")).alias("b64"))
+    return rows.select("doc_id", F.regexp_replace("b64", "[\r\n]", "").alias("b64"), F.decode(F.unbase64("b64"), "UTF-8").alias("restored"))
+
+
 # -- peaks, pieces, joins ---------------------------------------------------------------------------------------------
 
 

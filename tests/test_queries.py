@@ -1,3 +1,4 @@
+import base64
 import math
 
 import duckdb
@@ -43,3 +44,10 @@ def test_query(spark, sf, oracle, name):
 def test_entry(spark):
     assert entry.entry(spark).count() > 0
     assert set(entry.oracle_sql()) <= set(entry.queries())
+
+
+def test_base64_of_whole_texts(spark, sf):
+    texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    rows = core.queries()["base64_whole"](spark, sf).collect()
+    assert {r.doc_id: r.restored for r in rows} == texts and max(map(len, texts.values())) > 1000
+    assert all(base64.b64decode(r.b64, validate=True) == r.restored.encode() for r in rows)
