@@ -548,6 +548,15 @@ def tic_pivot(spark, d):
     return rows.groupBy("user_id").pivot("event_type", ["click", "view", "purchase"]).agg(F.sum("c"))
 
 
+EVENT_TYPES = ("click", "view", "purchase", "error", "signup")
+
+
+@query("select user_id, " + ", ".join(f"""cast(sum(c) filter (event_type = '{t}') as bigint) as "{t}\"""" for t in EVENT_TYPES) + " from (select *, cast(round(value * 100) as bigint) c from events) group by 1")
+def tic_pivot_all(spark, d):
+    rows = signal(spark, d).select("user_id", "event_type", big(F.round(F.col("value") * 100)).alias("c"))
+    return rows.groupBy("user_id").pivot("event_type", list(EVENT_TYPES)).agg(F.sum("c"))
+
+
 _POLY = "((((2e-11::double * x + -2e-7::double) * x + -0.0003::double) * x + 6.3804::double) * x + -3775.2::double)"
 
 
