@@ -7,7 +7,10 @@ Labelled page outcomes (bad or not) are counted by host and shrunk through beta-
 A level's prior mean is the posterior mean of the level above; its strength (how many pages the prior is worth)
 comes from the method of moments over all units of the level: the less units differ beyond chance, the stronger the prior.
 A host's rate of bad pages then has a beta posterior. A host is blocked if the lower `1 - confidence` quantile of
-that posterior exceeds `lift` times the corpus' rate: if it is credibly worse than usual, not if it has few labels.
+that posterior exceeds the bar: if it is credibly worse than usual, not if it has few labels. Over the bar, bad pages are
+`lift` times as frequent as usual, or good ones `lift` times as rare; so the bar is below 1 whatever the usual rate is. The usual
+rate is the random-effects mean of the hosts: by pages if hosts differ by chance only, else a host's weight is bounded, and one
+hot host hardly moves it.
 
 Counts are partial aggregates by host, so a host with a third of all pages costs one row a task. Only level totals
 (four numbers a level) reach the driver. Verdicts are joined to pages by host.
@@ -147,6 +150,20 @@ def _level(units: DataFrame) -> float:
     return strength(r.units, r.n or 0.0, r.n2 or 0.0, r.spread or 0.0, r.noise or 0.0)
 
 
+def usual_rate(hosts: DataFrame, mean: float, everything: float) -> float:
+    """The rate of bad pages that a host usually has: hosts (columns n, bad) weigh n S / (n + S), S the strength of `mean` as
+    their prior."""
+    worth = _level(hosts.withColumn("prior", F.lit(mean)).withColumn("group_n", F.lit(everything)))
+    share = F.lit(worth) / (F.col("n") + worth)
+    r = hosts.agg(F.sum(F.col("n") * share).alias("n"), F.sum(F.col("bad") * share).alias("bad")).first()
+    return (r.bad + 0.5) / (r.n + 1.0)
+
+
+def bar(usual: float, lift: float = LIFT) -> float:
+    """The rate over which bad pages are `lift` times as frequent as usual, or good ones `lift` times as rare."""
+    return min(lift * usual, 1 - (1 - usual) / lift)
+
+
 def reputations(outcomes: DataFrame, confidence: float = CONFIDENCE, lift: float = LIFT) -> DataFrame:
     """(host, domain, suffix, n, bad, prior, worth, rate, bound, blocked) of every host.
 
@@ -159,6 +176,7 @@ def reputations(outcomes: DataFrame, confidence: float = CONFIDENCE, lift: float
     total = hosts.agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).first()
     mean = (total.bad + 0.5) / (total.n + 1.0) if total.n else 0.5
     everything = total.n or 0.0
+    limit = bar(usual_rate(hosts, mean, everything), lift) if total.n else 1.0
 
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("prior", F.lit(mean)).withColumn("group_n", F.lit(float(everything)))
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
@@ -180,7 +198,7 @@ def reputations(outcomes: DataFrame, confidence: float = CONFIDENCE, lift: float
 
     a = F.col("prior") * F.col("worth") + F.col("bad")
     b = (1 - F.col("prior")) * F.col("worth") + F.col("n") - F.col("bad")
-    out = hosts.withColumn("bound", bound(a, b)).withColumn("blocked", F.col("bound") > lift * mean if total.n else F.lit(False))
+    out = hosts.withColumn("bound", bound(a, b)).withColumn("blocked", F.col("bound") > limit if total.n else F.lit(False))
     return out.select("host", "domain", "suffix", "n", "bad", "prior", "worth", "rate", "bound", "blocked")
 
 

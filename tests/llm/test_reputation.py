@@ -105,3 +105,17 @@ def test_strength():
     assert rep.strength(1, 10, 1, 5, 1) == rep.STRENGTH[1]
     assert rep.strength(50, 500, 10, 5, 9) == rep.STRENGTH[1]
     assert math.isclose(rep.strength(101, 1100, 100, 60, 20), 0.2 / 0.04 - 1)
+
+
+def test_bar_is_below_one(spark):
+    assert rep.bar(0.25) == 0.375 and all(u < rep.bar(u) < 1 for u in (0.01, 0.4, 0.5, 2 / 3, 0.9, 0.999))
+    rows = [("bad.com", True)] * 2000 + [(f"h{h}.org", k < 35) for h in range(40) for k in range(50)]
+    got = {r.host: r.blocked for r in rep.reputations(spark.createDataFrame(rows, "host string, bad boolean")).collect()}
+    assert got["bad.com"] and not any(v for h, v in got.items() if h != "bad.com")
+
+
+def test_a_hot_host_does_not_shield_others(spark):
+    rows = [(f"h{h}.com", k < (140 if h == 7 else 50)) for h in range(40) for k in range(200)]
+    for hot in ([], [("hot.net", True)] * 4000):
+        got = {r.host: r.blocked for r in rep.reputations(spark.createDataFrame(rows + hot, "host string, bad boolean")).collect()}
+        assert {h for h, v in got.items() if v} == {"h7.com"} | {h for h, _ in hot}
