@@ -54,15 +54,25 @@ def path_of(url: Column) -> Column:
     return F.coalesce(F.regexp_extract(url, r"(?s)^.*?://[^/?#]*([^?#]*)", 1), F.lit(""))
 
 
+def _name_of(host: Column) -> Column:
+    return F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":\d*$", "")
+
+
+def _address(name: Column) -> Column:
+    return name.rlike(r"^(\d{1,3}\.){3}\d{1,3}$|^\[")
+
+
 def suffix_of(host: Column) -> Column:
-    name = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":\d*$", "")
+    """The suffix of a host; of an IP address `ip`."""
+    name = _name_of(host)
     two = F.substring_index(name, ".", -2)
-    return F.when(two.isin(TWO_LABELS), two).otherwise(F.substring_index(name, ".", -1))
+    return F.when(_address(name), "ip").when(two.isin(TWO_LABELS), two).otherwise(F.substring_index(name, ".", -1))
 
 
 def domain_of(host: Column) -> Column:
-    name = F.regexp_replace(F.regexp_replace(host, r"^.*@", ""), r":\d*$", "")
-    return F.when(F.substring_index(name, ".", -2).isin(TWO_LABELS), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
+    """The registered domain of a host; an IP address is its own."""
+    name = _name_of(host)
+    return F.when(_address(name), name).when(F.substring_index(name, ".", -2).isin(TWO_LABELS), F.substring_index(name, ".", -3)).otherwise(F.substring_index(name, ".", -2))
 
 
 def ruled(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES) -> Column:

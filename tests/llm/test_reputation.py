@@ -119,3 +119,9 @@ def test_a_hot_host_does_not_shield_others(spark):
     for hot in ([], [("hot.net", True)] * 4000):
         got = {r.host: r.blocked for r in rep.reputations(spark.createDataFrame(rows + hot, "host string, bad boolean")).collect()}
         assert {h for h, v in got.items() if v} == {"h7.com"} | {h for h, _ in hot}
+
+
+def test_addresses_are_domains_of_their_own(spark):
+    hosts = {"10.0.3.4": ("10.0.3.4", "ip"), "u@10.9.3.4:80": ("10.9.3.4", "ip"), "[2001:db8::1]:8080": ("[2001:db8::1]", "ip"), "a.b.co.uk": ("b.co.uk", "co.uk"), "a.b.com:1": ("b.com", "com"), "": ("", "")}
+    rows = spark.createDataFrame([(h,) for h in hosts], "h string").select("h", rep.domain_of(F.col("h")), rep.suffix_of(F.col("h"))).collect()
+    assert {r[0]: (r[1], r[2]) for r in rows} == hosts
