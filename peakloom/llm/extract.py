@@ -10,7 +10,7 @@ that page alone.
 Scripts, styles, comments, the head, and elements that carry no readable text are markup and never become blocks. Character
 references are decoded once. White space inside a block turns into one space; blocks are joined by a line feed.
 Null or empty pages give an empty text, pages without markup give their text, broken or unclosed tags end
-where HTML closes them (a new paragraph ends an open one; an unclosed container ends with its parent). Nothing is cut by length.
+where HTML closes them (a new paragraph ends an open one; an unclosed container ends with its parent, a head at what may not stand in it). Nothing is cut by length.
 """
 
 from __future__ import annotations
@@ -36,12 +36,16 @@ _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"
 _WORD = re.compile(r"[a-z]+|[0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 #: Elements whose content isn't read at all.
-_DROPPED = {"script", "style", "head", "title", "template", "noscript", "iframe", "object", "svg", "math", "canvas", "audio", "video", "map", "select", "datalist", "textarea"}
-_RAW = {"script", "style", "textarea", "title", "iframe", "noscript"}
+_DROPPED = {"script", "style", "head", "title", "template", "iframe", "svg", "select", "datalist", "textarea"}
+_RAW = {"script", "style", "textarea", "title", "iframe"}
+#: Start tags that leave a head open.
+_HEAD = {"head", "html", "base", "basefont", "bgsound", "link", "meta", "title", "noscript", "script", "style", "template"}
 _VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 _INLINE = {
     "a", "abbr", "acronym", "b", "bdi", "bdo", "big", "cite", "code", "data", "del", "dfn", "em", "font", "i", "ins", "kbd", "label", "mark", "q", "s", "samp",
     "small", "span", "strike", "strong", "sub", "sup", "time", "tt", "u", "var", "ruby", "rt", "rp", "br", "wbr", "img", "nobr", "center-inline",
+    "math", "mi", "mn", "mo", "ms", "mtext", "mspace", "mrow", "mfrac", "msqrt", "mroot", "mstyle", "merror", "mpadded", "mphantom", "menclose", "msub", "msup", "msubsup", "munder",
+    "mover", "munderover", "mmultiscripts", "mprescripts", "mtable", "mtr", "mtd", "semantics", "annotation",
 }
 #: What a start tag closes, if it is open in the nearest container.
 _CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}}
@@ -88,8 +92,17 @@ def blocks(page: str) -> list[tuple[list[tuple[str, ...]], str, float]]:
         dropped -= sum(e[0] in _DROPPED for e in stack[k:])
         del stack[k:]
 
+    def leave_head() -> None:
+        for k in range(len(stack) - 1, -1, -1):
+            if stack[k][0] == "template":
+                break
+            if stack[k][0] == "head":
+                close(k)
+
     while True:
         m = _TOKEN.search(page, at)
+        if dropped and stack[-1][0] == "head" and page[at : m.start() if m else len(page)].strip():
+            leave_head()
         if (stop := m.start() if m else len(page)) > at and not dropped:
             text.append(page[at:stop])
             linked.append(links > 0)
@@ -116,6 +129,8 @@ def blocks(page: str) -> list[tuple[list[tuple[str, ...]], str, float]]:
                 else:
                     flush()
             continue
+        if dropped and tag not in _HEAD:
+            leave_head()
         if tag in _INLINE:
             if tag == "a":
                 links = 1
@@ -130,8 +145,6 @@ def blocks(page: str) -> list[tuple[list[tuple[str, ...]], str, float]]:
         for k in range(len(stack) - 1, -1, -1):
             if stack[k][0] == "p" or stack[k][0] in _CLOSES.get(tag, ()):
                 close(k)
-            elif stack[k][0] == "head" and tag == "body":
-                close(k)
             elif stack[k][0] in _CONTAINERS:
                 break
         stack.append(_names(tag, m.group(3) or m.group(6) or ""))

@@ -73,3 +73,17 @@ def test_table(spark, model):
 def test_deep_and_long_pages(model):
     page = "<div>" * 3000 + "<article><p>" + "word " * 200_000 + "end.</p></article>"
     assert extract.main_text(page, model).endswith("end.")
+
+
+def test_head_ends_without_its_end_tag():
+    found = lambda page: [t for _, t, _ in extract.blocks(page)]
+    head = "<html><head><title>T</title><meta charset=utf-8><template><div>no</div></template><noscript><link rel=x></noscript><style>p{}</style>"
+    for rest in ("<p>Text</p>", "<b>Text</b>", "Text", "<br>Text", "<div>Text</div>", "</head><body>Text", "<body>Text", "<script>1</script><h1>Text</h1>"):
+        assert found(head + rest) == ["Text"], rest
+
+
+def test_math_and_fallback_content_are_read():
+    found = lambda page: [t for _, t, _ in extract.blocks(page)]
+    assert found("<body><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>") == ["so x=1 holds"]
+    for tag in ("noscript", "object", "video", "audio", "canvas", "map"):
+        assert found(f"<body><div>a</div><{tag}><p>kept</p></{tag}><div>b</div>") == ["a", "kept", "b"], tag
