@@ -1,25 +1,28 @@
 """Line dedup by an exact set-similarity join, with DataFrame functions only.
 
 A line is the set of its words (as they stand, split at spaces). A later line goes if an earlier line has a Jaccard
-similarity of at least THRESHOLD percent with it; lines are ordered by (doc_id, hash of the text, place in the text).
+similarity of at least THRESHOLD percent with it; lines are ordered by (doc_id, two hashes of id and text, place in the text).
 
 1. Words are counted over all lines in BINS hash bins; the order of words is by the level of the bin's count, then by hash.
    Any order shared by all lines gives the same result, so bins and levels only cost selectivity, and their table, the
    one thing that reaches the driver, is of fixed size.
 2. Lines with equal sets collapse to a class with the position of its first line; copies are decided by that alone.
-3. Prefix filter: similar sets share one of their rarest n - ceil(t n) + 1 words. Each class emits those with its size, the
-   word's place, and a parity signature (one bit a word, XOR-ed): two signatures differ in no more bits than the sets differ
-   in words. A semi join on the word under length, positional and signature filters leaves the classes that
-   have a candidate at all, and the words where they have it.
+3. Prefix filter: of two similar sets the larger shares one of its rarest n - ceil(t n) + 1 words with the rarest
+   m - ceil(2 t m / (1 + t)) + 1 words of the smaller. Each class emits those words with its size, the word's place, and a
+   parity signature (one bit a word, XOR-ed): two signatures differ in no more bits than the sets differ in words. Two semi
+   joins on the word under length, positional and signature filters leave the classes that have a candidate at all, and
+   the words where they have it: first the larger (or equal) members, then the smaller ones, which only meet the former.
 4. Only those lines are read again with all their words, and verified: against the earliest class of each word where
    they meet, one pair each; and what that leaves open by a second semi join on the same words, with the exact similarity
    as its condition. Semi joins look for one partner and stop: the pairs of a group are never emitted.
 
-The joins are plain equi-joins between shuffled sides, which adaptive execution splits where a word is hot.
+Both sides of each join come straight from a shuffle or a stored table, so adaptive execution can split the probing side
+where a word is hot; the other side of a hot word is read again by each part, spilled where it doesn't fit, and never emitted.
 
 Empty lines and lines of spaces are kept and never compared. Null and empty texts stay as they are. Rows that repeat id
-and text are decided alike. Null ids come first in the order. A document keeps its other lines; `text` without a
-single word left is dropped by `deduplicate`.
+and text are decided alike; rows that share an id, null ids included, are told apart by their texts. Null ids come first
+in the order. Ids may be of any type that Spark orders and hashes. Other columns, whatever their names, pass through. A
+document keeps its other lines; `text` without a single word left is dropped by `deduplicate`. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -34,12 +37,12 @@ from .common import free_name, stored
 
 #: Percent.
 THRESHOLD = 80
-BINS = 1 << 17
+BINS = 1 << 18
 #: Sets of up to SHORT words have a signature of 64 bits, of up to LONG words one of 128 bits, larger ones of 256.
 SHORT, LONG = 64, 192
 SIGNATURES = ("s1", "s2", "s3", "s4")
-#: Lines that may be broadcast as keys; beyond that they are joined by shuffling.
-BROADCAST_LINES = 1_000_000
+#: Bytes of slim rows that may be broadcast as keys, by their count; beyond that they are joined by shuffling.
+BROADCAST_BYTES = 32 << 20
 
 
 def _levels(documents: DataFrame, bins: int) -> Column:
@@ -52,23 +55,24 @@ def _levels(documents: DataFrame, bins: int) -> Column:
     return F.from_json(F.lit(str(level.tolist())), "array<int>")
 
 
-def _place(doc_id: Column, text: Column) -> Column:
-    """Where a document's lines begin in the order of all lines, as decimal(38): id, 30 bits of the text's hash, 31 bits left for
-    the line. Null ids come first. As one number it can be aggregated in place and joined on."""
-    whole = F.coalesce(doc_id.cast("decimal(20,0)"), F.lit("-9223372036854775809").cast("decimal(20,0)")) * F.lit(1 << 61).cast("decimal(19,0)")
-    return (whole + F.shiftleft(F.xxhash64(text).bitwiseAND((1 << 30) - 1), 31)).cast("decimal(38,0)")
+def _keys(doc_id: Column, text: Column) -> tuple[Column, Column]:
+    """Two 64-bit hashes that stand for a row's id and text."""
+    return F.xxhash64(doc_id, text), F.xxhash64(F.lit("second"), doc_id, text)
 
 
 def _lines(documents: DataFrame) -> DataFrame:
-    """(at, line): every line that has a word, and its place in the order of all lines."""
-    made = documents.select(_place(F.col("doc_id"), F.col("text")).alias("doc"), F.posexplode(F.split("text", "\n")).alias("line_no", "line"))
-    return made.filter(F.trim("line") != "").select((F.col("doc") + F.col("line_no")).cast("decimal(38,0)").alias("at"), "line")
+    """(at, line): every line that has a word, and its place in the order of all lines: doc_id, t1, t2, line_no."""
+    t1, t2 = _keys(F.col("doc_id"), F.col("text"))
+    whole = documents.select("doc_id", t1.alias("t1"), t2.alias("t2"), F.split("text", "\n").alias("lines"))  # hashed once a text, not a line
+    made = whole.select("doc_id", "t1", "t2", F.posexplode("lines").alias("line_no", "line"))
+    return made.filter(F.trim("line") != "").select(F.struct("doc_id", "t1", "t2", "line_no").alias("at"), "line")
 
 
 def _words(line: Column, levels: Column, bins: int) -> Column:
     """The line's set as sorted integers, rarest first: level of the word's bin above, 56 bits of its hash below."""
     hashes = F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w)))
-    level = lambda h: F.get(levels, h.bitwiseAND(bins - 1).cast("int")).cast("bigint")
+    # without a null in its type the array is sorted as plain numbers
+    level = lambda h: F.coalesce(F.get(levels, h.bitwiseAND(bins - 1).cast("int")), F.lit(0)).cast("bigint")
     return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(level(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
 
 
@@ -123,7 +127,9 @@ def _close(x: str, y: str, t: int) -> Column:
 
 
 def _prefix(words: Column, n: Column, t: int) -> Column:
-    return F.slice(words, 1, (n - F.ceil(n * t / 100) + 1).cast("int"))
+    """The words that a set can meet a smaller or equal one at; none where no other set is similar enough."""
+    least = -(-t // (100 - t)) if t < 100 else (1 << 31) - 1
+    return F.slice(words, 1, F.when(n < least, 0).otherwise(n - F.ceil(n * t / 100) + 1).cast("int"))
 
 
 def _classes(documents: DataFrame, levels: Column, bins: int, t: int) -> DataFrame:
@@ -137,7 +143,6 @@ def _classes(documents: DataFrame, levels: Column, bins: int, t: int) -> DataFra
         *_signatures(F.col("w"), F.col("n")),
         _prefix(F.col("w"), F.col("n"), t).alias("p"),
     )
-    # what the hash decides goes into the key: with one number to aggregate, classes are hashed and never sorted
     return made.groupBy("k1", "k2", "n", *SIGNATURES, "p").agg(F.min("at").alias("first"))
 
 
@@ -147,32 +152,40 @@ def _similar(x: str, y: str, t: int) -> Column:
 
 
 def _small(rows: DataFrame, most: int) -> DataFrame:
-    """Slim rows with a hint to broadcast them, if they were counted and are few enough."""
-    return F.broadcast(rows) if rows.count() <= most else rows
+    """Rows of fixed-width columns with a hint to broadcast them, if they were counted and take no more than `most` bytes."""
+    return F.broadcast(rows) if rows.count() * (8 * len(rows.columns) + 48) <= most else rows
 
 
-def kept_lines(documents: DataFrame, threshold: int = THRESHOLD, bins: int = BINS, broadcast_lines: int = BROADCAST_LINES) -> DataFrame:
-    """(doc, kept): of each document with a kept line its place (see _place) and the numbers of its kept lines, ascending.
+def _meetings(classes: DataFrame, t: int, broadcast_bytes: int) -> DataFrame:
+    """(k1, word) of the classes that have another one behind the filters, and the words where they meet."""
+    entries = classes.select("k1", "n", *SIGNATURES, F.posexplode("p").alias("i", "word"))
+    short = entries.filter((100 + t) * (F.col("n") - F.col("i")) >= 2 * t * F.col("n"))
+    meet = (F.col("x.word") == F.col("y.word")) & (F.col("x.k1") != F.col("y.k1")) & _close("x", "y", t) & _positional("x", "y", t)
+    larger = stored(entries.alias("x").join(short.alias("y"), meet & (F.col("y.n") <= F.col("x.n")), "left_semi"))
+    here = short.join(_small(larger.select("word").distinct(), broadcast_bytes), "word", "left_semi")
+    smaller = here.alias("x").join(larger.alias("y"), meet & (F.col("y.n") > F.col("x.n")), "left_semi")
+    return larger.select("k1", "word").union(smaller.select("k1", "word")).distinct()
+
+
+def kept_lines(documents: DataFrame, threshold: int = THRESHOLD, bins: int = BINS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """(t1, t2, kept): of each document with a kept line its keys (see _keys) and the numbers of its kept lines, ascending.
 
-    Lines without a word aren't listed. Needs an integer doc_id, and text."""
+    Lines without a word aren't listed. Needs doc_id and text."""
     t = threshold
     documents = documents.select("doc_id", "text")
     levels = _levels(documents, bins)
     classes = stored(_classes(documents, levels, bins, t))
-
-    # candidates: classes with another one behind the filters, and the words where they meet
-    entries = classes.select("k1", "n", *SIGNATURES, F.posexplode("p").alias("i", "word"))
-    x, y = entries.alias("x"), entries.alias("y")
-    meet = (F.col("x.word") == F.col("y.word")) & (F.col("x.k1") != F.col("y.k1")) & _close("x", "y", t) & _positional("x", "y", t)
-    met = stored(x.join(y, meet, "left_semi").select("x.k1", "x.word"))
+    met = stored(_meetings(classes, t, broadcast_bytes))
 
     # their lines again, now with all words
     found = stored(met.select("k1").distinct())
-    wanted = stored(classes.join(_small(found, broadcast_lines), "k1", "left_semi").select("k1", "k2", "first", "n", *SIGNATURES))
-    of_line = F.pmod(F.col("first"), F.lit(1 << 31).cast("decimal(38,0)"))
-    mine = _small(wanted.select((F.col("first") - of_line).cast("decimal(38,0)").alias("d")).distinct(), broadcast_lines)
-    lines = _lines(documents.join(mine, _place(F.col("doc_id"), F.col("text")) == F.col("d"), "left_semi"))
-    full = lines.join(_small(wanted, broadcast_lines), F.col("at") == F.col("first")).select("k1", "k2", "first", "n", *SIGNATURES, "line").dropDuplicates(["k1", "k2"])
+    place = [F.col(f"first.{c}").alias(c) for c in ("t1", "t2", "line_no")]
+    wanted = stored(classes.join(_small(found, broadcast_bytes), "k1", "left_semi").select("k1", "k2", "n", *SIGNATURES, *place))
+    mine = _small(wanted.select("t1", "t2").distinct(), broadcast_bytes)
+    t1, t2 = _keys(F.col("doc_id"), F.col("text"))
+    lines = _lines(documents.join(mine, (t1 == F.col("t1")) & (t2 == F.col("t2")), "left_semi"))
+    lines = lines.select(F.col("at").alias("first"), "line", *[F.col(f"at.{c}").alias(c) for c in ("t1", "t2", "line_no")])
+    full = lines.join(_small(wanted, broadcast_bytes), ["t1", "t2", "line_no"]).select("k1", "k2", "first", "n", *SIGNATURES, "line").dropDuplicates(["k1", "k2"])
     full = stored(full.withColumn("line", _words(F.col("line"), levels, bins)).withColumnRenamed("line", "w"))
 
     # an earlier class that is really similar. The earliest class of a word is tried first: in a cluster that settles nearly
@@ -187,7 +200,7 @@ def kept_lines(documents: DataFrame, threshold: int = THRESHOLD, bins: int = BIN
         both = mine.join(words.select(F.col("k1").alias("y1"), F.col("k2").alias("y2"), F.col("w").alias("yw")), ["y1", "y2"])
         return both.where(_similar("xw", "yw", t)).select(F.col("x1").alias("k1"), F.col("x2").alias("k2")).distinct()
 
-    low = sides.groupBy("word").agg(F.min(F.struct("first", "k1", "k2", "n", *SIGNATURES)).alias("low")).select("word", "low.*")
+    low = stored(sides.groupBy("word").agg(F.min(F.struct("first", "k1", "k2", "n", *SIGNATURES)).alias("low")).select("word", "low.*"))
     before = (F.col("x.word") == F.col("y.word")) & (F.col("y.first") < F.col("x.first")) & _close("x", "y", t)
     pairs = sides.alias("x").join(low.alias("y"), before).select(*[F.col(f"{s}.{k}").alias(f"{s}{k[1]}") for s in "xy" for k in ("k1", "k2")]).distinct()
     settled = stored(verified(pairs))
@@ -196,28 +209,28 @@ def kept_lines(documents: DataFrame, threshold: int = THRESHOLD, bins: int = BIN
     others = sides.join(rest.select("word").distinct(), "word", "left_semi").join(words, ["k1", "k2"])
     found = rest.join(words, ["k1", "k2"]).alias("x").join(others.alias("y"), before & _similar("x.w", "y.w", t), "left_semi").select("x.k1", "x.k2")
     later = stored(settled.union(found.distinct()))
-    kept = classes.select("k1", "k2", "first").join(_small(later, broadcast_lines), ["k1", "k2"], "left_anti")
-    kept = kept.select((F.col("first") - of_line).cast("decimal(38,0)").alias("doc"), of_line.cast("int").alias("line_no"))
-    return kept.groupBy("doc").agg(F.sort_array(F.collect_list("line_no")).alias("kept"))
+    kept = classes.select("k1", "k2", *place).join(_small(later, broadcast_bytes), ["k1", "k2"], "left_anti")
+    return kept.groupBy("t1", "t2").agg(F.sort_array(F.collect_list("line_no")).alias("kept"))
 
 
 def report(documents: DataFrame) -> DataFrame:
     """doc_id, n_lines, n_kept, kept_lines of every document: its lines with a word, how many stay, their numbers."""
-    kept = kept_lines(documents)
     own = F.size(F.filter(F.split("text", "\n"), lambda x: F.trim(x) != ""))
-    rows = documents.select(F.col("doc_id").alias("d"), _place(F.col("doc_id"), F.col("text")).alias("place"), F.when(F.col("text").isNull(), 0).otherwise(own).alias("n_lines"))
-    out = rows.join(kept, F.col("place") == F.col("doc"), "left")
+    t1, t2 = _keys(F.col("doc_id"), F.col("text"))
+    rows = documents.select("doc_id", t1.alias("t1"), t2.alias("t2"), F.when(F.col("text").isNull(), 0).otherwise(own).alias("n_lines"))
+    out = rows.join(kept_lines(documents), ["t1", "t2"], "left")
     stays = F.coalesce("kept", F.array().cast("array<int>"))
-    return out.select(F.col("d").alias("doc_id"), F.col("n_lines").cast("bigint").alias("n_lines"), F.size(stays).cast("bigint").alias("n_kept"), F.array_join(stays.cast("array<string>"), ",").alias("kept_lines"))
+    return out.select("doc_id", F.col("n_lines").cast("bigint").alias("n_lines"), F.size(stays).cast("bigint").alias("n_kept"), F.array_join(stays.cast("array<string>"), ",").alias("kept_lines"))
 
 
 def deduplicate(documents: DataFrame) -> DataFrame:
     """The documents without the lines that repeat an earlier one; those that lose all their words go. Columns unchanged."""
-    names = [free_name(documents, c) for c in ("_doc", "_kept", "_lines")]
-    kept = kept_lines(documents).toDF(*names[:2])
-    d, k, lines = (F.col(c) for c in names)
-    out = documents.join(kept, _place(documents["doc_id"], documents["text"]) == d, "left")
-    out = out.withColumn(names[2], F.split(documents["text"], "\n"))  # a column: inside the lambdas it would be split for each line
+    names = [free_name(documents, c) for c in ("_t1", "_t2", "_kept", "_lines")]
+    kept = kept_lines(documents).toDF(*names[:3])
+    a, b, k, lines = (F.col(c) for c in names)
+    t1, t2 = _keys(documents["doc_id"], documents["text"])
+    out = documents.join(kept, (t1 == a) & (t2 == b), "left")
+    out = out.withColumn(names[3], F.split(documents["text"], "\n"))  # a column: inside the lambdas it would be split for each line
     blank = F.filter(F.sequence(F.lit(0), F.size(lines) - 1), lambda i: F.trim(F.get(lines, i)) == "")
     text = F.array_join(F.transform(F.sort_array(F.concat(k, blank)), lambda i: F.get(lines, i)), "\n")
     had = F.trim(F.replace(documents["text"], F.lit("\n"), F.lit(" "))) != ""

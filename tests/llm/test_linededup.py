@@ -24,21 +24,23 @@ def brute(rows, t=80):
 
 def kept(df, *args):
     """{doc_id: kept line numbers} of the documents that keep some."""
-    rows = df.select("doc_id", linededup._place(F.col("doc_id"), F.col("text")).alias("doc"))
-    return {r.doc_id: r.kept for r in rows.join(linededup.kept_lines(df, *args), "doc").collect()}
+    t1, t2 = linededup._keys(F.col("doc_id"), F.col("text"))
+    rows = df.select("doc_id", t1.alias("t1"), t2.alias("t2"))
+    return {r.doc_id: r.kept for r in rows.join(linededup.kept_lines(df, *args), ["t1", "t2"]).collect()}
 
 
 ORDER = {}
 
 
 def before(a, b):
-    rank = lambda p: (p[0] is not None, p[0] or 0, ORDER[p[1]], p[2])
+    rank = lambda p: (p[0] is not None, p[0] or 0, ORDER[p[:2]], p[2])
     return rank(a) < rank(b)
 
 
-def order_of(spark, texts):
-    df = spark.createDataFrame([(t,) for t in set(texts)], "text string")
-    ORDER.update({r.text: r.h for r in df.select("text", F.xxhash64("text").bitwiseAND((1 << 30) - 1).alias("h")).collect()})
+def order_of(spark, rows):
+    df = spark.createDataFrame(rows, "doc_id bigint, text string").filter("text is not null")
+    t1, t2 = linededup._keys(F.col("doc_id"), F.col("text"))
+    ORDER.update({(r.doc_id, r.text): (r.a, r.b) for r in df.select("doc_id", "text", t1.alias("a"), t2.alias("b")).collect()})
 
 
 def corpus(seed, n):
@@ -60,10 +62,10 @@ def corpus(seed, n):
     return docs
 
 
-@pytest.mark.parametrize(("seed", "threshold", "bins", "broadcast"), [(1, 80, 1 << 10, 10**6), (2, 80, 16, 0), (3, 90, 1 << 17, 10**6), (4, 60, 64, 10**6)])
+@pytest.mark.parametrize(("seed", "threshold", "bins", "broadcast"), [(1, 80, 1 << 10, 10**9), (2, 80, 16, 0), (3, 90, 1 << 18, 10**9), (4, 60, 64, 10**9)])
 def test_matches_brute_force(spark, seed, threshold, bins, broadcast):
     rows = corpus(seed, 120)
-    order_of(spark, [t for _, t in rows])
+    order_of(spark, rows)
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     got = kept(df, threshold, bins, broadcast)
     want = brute(rows, threshold)
@@ -88,8 +90,8 @@ ROWS = [
 
 
 def test_odd_rows(spark):
-    df = spark.createDataFrame([(*r, 1, "z", 0) for r in ROWS], "doc_id bigint, text string, kept int, k1 string, _d int")
-    order_of(spark, [t for _, t in ROWS])
+    df = spark.createDataFrame([(*r, 1, "z", 0) for r in ROWS], "doc_id bigint, text string, kept int, k1 string, t1 int")
+    order_of(spark, ROWS)
     want = brute(ROWS)
     rows = linededup.report(df).collect()
     assert len(rows) == len(ROWS)
@@ -106,6 +108,25 @@ def test_odd_rows(spark):
     assert linededup.report(df.limit(0)).count() == 0 and linededup.deduplicate(df.limit(0)).count() == 0
 
 
+def test_rows_that_share_an_id(spark):
+    n = 150_000
+    df = spark.range(n).select(F.lit(None).cast("bigint").alias("doc_id"), F.concat(F.lit("only w"), "id", F.lit(" v"), "id").alias("text"))
+    rows = linededup.report(df).groupBy("n_lines", "n_kept", "kept_lines").count().collect()
+    assert [tuple(r) for r in rows] == [(1, 1, "0", n)]
+    named = spark.createDataFrame([("b", "p q r s t"), ("a", "x\nt s r q p"), (None, "x")], "doc_id string, text string")
+    got = {r.doc_id: r.kept_lines for r in linededup.report(named).collect()}
+    assert got == {None: "0", "a": "1", "b": ""}
+    assert {(r.doc_id, r.text) for r in linededup.deduplicate(named).collect()} == {(None, "x"), ("a", "t s r q p")}
+
+
+def test_thresholds_at_the_ends(spark):
+    rows = [(1, "a b c d"), (2, "a b c d e"), (3, "a b c"), (4, "d c b a"), (5, "a b c e")]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    order_of(spark, rows)
+    for t in (1, 50, 60, 75, 80, 99, 100):
+        assert kept(df, t) == {d: v for (d, _), v in brute(rows, t).items()}, t
+
+
 def test_a_hot_line_and_a_hot_cluster(spark):
     hot = [f"h{k}" for k in range(30)]
     near = lambda k: [f"v{k}" if i == k % 30 else w for i, w in enumerate(hot)]
