@@ -11,6 +11,10 @@ Scripts, styles, comments, the head, and elements that carry no readable text ar
 references are decoded once. White space inside a block turns into one space; blocks are joined by a line feed.
 Null or empty pages give an empty text, pages without markup give their text, broken or unclosed tags end
 where HTML closes them (a new paragraph ends an open one; an unclosed container ends with its parent, a head at what may not stand in it). Nothing is cut by length.
+
+A page is scanned once, in time and memory linear in its length however broken it is: where a tag's quotes end is
+remembered by opening quote, open elements are found by name, and blocks share the features of their ancestors. Repeated
+pages are extracted row by row, alike; an empty table gives an empty one; columns other than page_id, url and html aren't read.
 """
 
 from __future__ import annotations
@@ -18,6 +22,8 @@ from __future__ import annotations
 import html
 import random
 import re
+from bisect import bisect_left, bisect_right
+from collections import Counter, defaultdict
 from functools import lru_cache
 
 import numpy as np
@@ -31,7 +37,9 @@ from .common import text_batches
 PAGES = 1200
 PASSES = 12
 
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']|"[^"]*"|'[^']*')*)>|<(/?)([a-zA-Z][^\s/><]*)([^<>]*)(?:>|(?=<)|\Z)""", re.S)
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+_BROKEN = re.compile(r"([a-zA-Z][^\s/><]*)([^<>]*)>?")
+_SPECIAL = re.compile("[>\"']")
 _ATTRIBUTE = re.compile(r"""\b(class|id|role|hidden|aria-hidden)\b(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 _WORD = re.compile(r"[a-z]+|[0-9]+")
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
@@ -67,14 +75,115 @@ def _names(tag: str, attributes: str) -> tuple[str, ...]:
     return tuple(dict.fromkeys(out))
 
 
-def blocks(page: str) -> list[tuple[list[tuple[str, ...]], str, float]]:
-    """(open elements from the root, text, share of its characters in links) of each leaf block."""
-    out: list[tuple[list[tuple[str, ...]], str, float]] = []
-    stack: list[tuple[str, ...]] = []
+class _Tags:
+    """Where the tags of a page end: at the first `>` outside quotes, each quote looked at once."""
+
+    def __init__(self, page: str):
+        self.page = page
+        self.special: list[int] | None = None
+        self.ends: dict[int, int] = {}
+
+    def end(self, at: int) -> int:
+        """The place of the `>` that ends a tag whose name ends at `at`; -1 if its quotes leave none."""
+        page = self.page
+        m = _SPECIAL.match(page, at)  # nearly always: nothing or one attribute
+        if m and m.group() == ">":
+            return at
+        if self.special is None:
+            self.special = [x.start() for x in _SPECIAL.finditer(page)]
+        passed = []
+        while True:
+            k = bisect_left(self.special, at)
+            if k == len(self.special):
+                found = -1
+                break
+            opened = self.special[k]
+            if page[opened] == ">":
+                found = opened
+                break
+            if opened in self.ends:
+                found = self.ends[opened]
+                break
+            passed.append(opened)
+            closed = page.find(page[opened], opened + 1)
+            if closed < 0:
+                found = -1
+                break
+            at = closed + 1
+        self.ends.update(dict.fromkeys(passed, found))
+        return found
+
+
+class Element:
+    """An open element: its names, its parent, and the features that its ancestors don't have."""
+
+    __slots__ = ("names", "new", "parent", "score")
+
+    def __init__(self, names: tuple[str, ...], parent: Element | None, new: list[str]):
+        self.names, self.parent, self.new, self.score = names, parent, new, None
+
+    def features(self) -> list[str]:
+        """Of this element and all around it."""
+        chain, e = [], self
+        while e:
+            chain.append(e.new)
+            e = e.parent
+        return [f for new in reversed(chain) for f in new]
+
+
+class _Stack:
+    """The open elements, and where on the stack each tag and the containers are."""
+
+    def __init__(self):
+        self.elements: list[Element] = []
+        self.leaves: list[str] = ["body"]  # innermost tag but html and body
+        self.at: dict[str, list[int]] = defaultdict(list)
+        self.containers: list[int] = []
+        self.seen: Counter[str] = Counter()
+        self.dropped = 0
+
+    def push(self, names: tuple[str, ...]) -> None:
+        tag, new = names[0], []
+        leaf = self.leaves[-1]
+        if tag not in ("html", "body"):
+            new = [f for f in (*names, f"{leaf}>{tag}") if not self.seen[f]]
+            self.seen.update(new)
+            leaf = tag
+        self.at[tag].append(len(self.elements))
+        if tag in _CONTAINERS:
+            self.containers.append(len(self.elements))
+        self.dropped += tag in _DROPPED
+        self.elements.append(Element(names, self.elements[-1] if self.elements else None, new))
+        self.leaves.append(leaf)
+
+    def cut(self, k: int) -> None:
+        while len(self.elements) > k:
+            e = self.elements.pop()
+            tag = e.names[0]
+            self.leaves.pop()
+            self.at[tag].pop()
+            if tag in _CONTAINERS:
+                self.containers.pop()
+            self.dropped -= tag in _DROPPED
+            self.seen.subtract(e.new)
+
+    def last(self, tag: str) -> int:
+        return self.at[tag][-1] if self.at.get(tag) else -1
+
+    def lowest(self, tag: str, above: int) -> int:
+        """The lowest place of an open tag above another place, or -1."""
+        places = self.at.get(tag, ())
+        k = bisect_right(places, above)
+        return places[k] if k < len(places) else -1
+
+
+def blocks(page: str) -> list[tuple[tuple[Element | None, str], str, float]]:
+    """((innermost open element, innermost tag), text, share of its characters in links) of each leaf block."""
+    out: list[tuple[tuple[Element | None, str], str, float]] = []
+    stack, tags = _Stack(), _Tags(page)
     text: list[str] = []
     linked: list[bool] = []
-    links = dropped = 0
-    at = 0
+    links = at = 0
 
     def flush() -> None:
         if text:
@@ -82,59 +191,57 @@ def blocks(page: str) -> list[tuple[list[tuple[str, ...]], str, float]]:
             words = joined.split()
             if words:
                 inside = sum(len(t) for t, x in zip(text, linked) if x)
-                out.append((list(stack), " ".join(words), inside / max(1, sum(map(len, text)))))
+                around = stack.elements[-1] if stack.elements else None
+                out.append(((around, stack.leaves[-1]), " ".join(words), inside / max(1, sum(map(len, text)))))
             text.clear()
             linked.clear()
 
     def close(k: int) -> None:
-        nonlocal dropped
         flush()
-        dropped -= sum(e[0] in _DROPPED for e in stack[k:])
-        del stack[k:]
+        stack.cut(k)
 
     def leave_head() -> None:
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == "template":
-                break
-            if stack[k][0] == "head":
-                close(k)
+        while stack.last("head") > stack.last("template"):
+            close(stack.last("head"))
 
     while True:
         m = _TOKEN.search(page, at)
-        if dropped and stack[-1][0] == "head" and page[at : m.start() if m else len(page)].strip():
+        if stack.dropped and stack.elements[-1].names[0] == "head" and page[at : m.start() if m else len(page)].strip():
             leave_head()
-        if (stop := m.start() if m else len(page)) > at and not dropped:
+        if (stop := m.start() if m else len(page)) > at and not stack.dropped:
             text.append(page[at:stop])
             linked.append(links > 0)
         if not m:
             break
         at = m.end()
-        tag = m.group(2) or m.group(5)
+        tag = m.group(2)
         if tag is None:
-            if m.group().startswith("<![CDATA[") and not dropped:
+            if m.group().startswith("<![CDATA[") and not stack.dropped:
                 text.append(html.escape(m.group()[9:].removesuffix("]]>")))
                 linked.append(links > 0)
             continue
+        if (end := tags.end(at)) >= 0:
+            attributes, at = page[at:end], end + 1
+        else:  # quotes that never close: the tag ends at the next bracket
+            m2 = _BROKEN.match(page, m.start(2))
+            tag, attributes, at = m2.group(1), m2.group(2), m2.end()
         tag = tag.lower()
-        if m.group(1) or m.group(4):
+        if m.group(1):
             if tag == "a":
                 links = max(0, links - 1)
             elif tag not in _INLINE:
-                for k in range(len(stack) - 1, -1, -1):
-                    if stack[k][0] == tag:
-                        close(k)
-                        break
-                    if tag not in _CONTAINERS and stack[k][0] in _CONTAINERS:
-                        break
+                k = stack.last(tag)
+                if k >= 0 and (tag in _CONTAINERS or not stack.containers or k > stack.containers[-1]):
+                    close(k)
                 else:
                     flush()
             continue
-        if dropped and tag not in _HEAD:
+        if stack.dropped and tag not in _HEAD:
             leave_head()
         if tag in _INLINE:
             if tag == "a":
                 links = 1
-            elif tag == "br" and not dropped:
+            elif tag == "br" and not stack.dropped:
                 text.append(" ")
                 linked.append(False)
             continue
@@ -142,40 +249,33 @@ def blocks(page: str) -> list[tuple[list[tuple[str, ...]], str, float]]:
         links = 0
         if tag in _VOID:
             continue
-        for k in range(len(stack) - 1, -1, -1):
-            if stack[k][0] == "p" or stack[k][0] in _CLOSES.get(tag, ()):
-                close(k)
-            elif stack[k][0] in _CONTAINERS:
-                break
-        stack.append(_names(tag, m.group(3) or m.group(6) or ""))
-        if tag in _DROPPED:
-            dropped += 1
-            if tag in _RAW:
-                end = re.compile(f"</{tag}[\\s/>]", re.I).search(page, at)
-                at = end.start() if end else len(page)
+        inside = stack.containers[-1] if stack.containers else -1
+        if closed := [k for x in {"p"} | _CLOSES.get(tag, set()) if (k := stack.lowest(x, inside)) >= 0]:
+            close(min(closed))
+        stack.push(_names(tag, attributes))
+        if tag in _RAW:
+            end = re.compile(f"</{tag}[\\s/>]", re.I).search(page, at)
+            at = end.start() if end else len(page)
     flush()
     return out
 
 
-def features(page: list[tuple[list[tuple[str, ...]], str, float]]) -> list[list[str]]:
+def _own_features(leaf: str, text: str, share: float) -> list[str]:
+    """Feature names of a block that don't come from the elements around it."""
+    n = len(text)
+    out = [
+        "bias",
+        f"leaf {leaf}",
+        "size " + ("0" if n < 20 else "1" if n < 60 else "2" if n < 200 else "3"),
+        "link " + ("0" if share < 0.1 else "1" if share < 0.6 else "2"),
+        "ends" if text[-1] in ".!?…。！？\"”»" else "open",
+    ]
+    return [*out, "copyright"] if "©" in text else out
+
+
+def features(page: list[tuple[tuple[Element | None, str], str, float]]) -> list[list[str]]:
     """Feature names of each block."""
-    out = []
-    for path, text, share in page:
-        f = ["bias"]
-        around = [e for e in path if e[0] not in ("html", "body")]
-        for e in around:
-            f += e
-        names = [e[0] for e in around]
-        f += [f"{a}>{b}" for a, b in zip(["body", *names], names)]
-        f.append(f"leaf {names[-1] if names else 'body'}")
-        n = len(text)
-        f.append("size " + ("0" if n < 20 else "1" if n < 60 else "2" if n < 200 else "3"))
-        f.append("link " + ("0" if share < 0.1 else "1" if share < 0.6 else "2"))
-        f.append("ends" if text[-1] in ".!?…。！？\"”»" else "open")
-        if "©" in text:
-            f.append("copyright")
-        out.append(list(dict.fromkeys(f)))
-    return out
+    return [list(dict.fromkeys([*_own_features(leaf, text, share), *(around.features() if around else ())])) for (around, leaf), text, share in page]
 
 
 # Words that sites use for the parts of a page.
@@ -352,7 +452,19 @@ class Chain:
                     moves += rate * g / np.sqrt(gm)
         return cls({f: float(w[i]) for f, i in index.items()}, moves, start)
 
-    def decode(self, page: list[tuple[list[tuple[str, ...]], str, float]]) -> list[bool]:
+    def _around(self, element: Element | None) -> float:
+        """The weights of an element's features and of all around it, added up once for each element."""
+        chain = []
+        while element and element.score is None:
+            chain.append(element)
+            element = element.parent
+        score = element.score if element else 0.0
+        for e in reversed(chain):
+            score += sum([self.weights.get(f, 0.0) for f in e.new])
+            e.score = score
+        return score
+
+    def decode(self, page: list[tuple[tuple[Element | None, str], str, float]]) -> list[bool]:
         """Viterbi: whether each block is main text."""
         if not page:
             return []
@@ -360,8 +472,8 @@ class Chain:
         (oo, om), (mo, mm) = self.moves.tolist()
         s0, s1 = self.start.tolist()
         from_main: list[tuple[bool, bool]] = []
-        for k, own in enumerate(features(page)):
-            e = sum([get(f, 0.0) for f in own])
+        for k, ((around, leaf), text, share) in enumerate(page):
+            e = self._around(around) + sum([get(f, 0.0) for f in _own_features(leaf, text, share)])
             if k:
                 a, b, c, d = s0 + oo, s1 + mo, s0 + om, s1 + mm
                 from_main.append((b > a, d > c))

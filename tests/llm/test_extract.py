@@ -87,3 +87,41 @@ def test_math_and_fallback_content_are_read():
     assert found("<body><p>so <math><mi>x</mi><mo>=</mo><mn>1</mn></math> holds</p>") == ["so x=1 holds"]
     for tag in ("noscript", "object", "video", "audio", "canvas", "map"):
         assert found(f"<body><div>a</div><{tag}><p>kept</p></{tag}><div>b</div>") == ["a", "kept", "b"], tag
+
+
+@pytest.mark.parametrize(
+    "page",
+    [
+        "<p a=\"x' " * 600_000,
+        "<p a='x " * 600_000,
+        "<p " * 1_000_000,
+        "<div>a" * 100_000,
+        "<div class=c>" * 100_000 + "</article></p>" * 100_000,
+        "<p><div>" + "<x-y>" * 100_000 + "</p>" * 100_000,
+        "<svg>" + "<g>" * 100_000 + "</q1>" * 100_000,
+        "<" * 2_000_000,
+        "<li>a<b>" * 200_000,
+    ],
+    ids=["mixed quotes", "open quotes", "open tags", "open divs", "no such end", "out of reach", "dropped", "brackets", "items"],
+)
+def test_odd_pages_take_linear_time(model, page):
+    import time
+
+    start = time.monotonic()
+    extract.main_text(page, model)
+    assert time.monotonic() - start < 30
+
+
+def test_quotes_hide_brackets():
+    found = lambda page: [t for _, t, _ in extract.blocks(page)]
+    assert found("<p title=\"a > b\" x='c > d'>one</p><p a='>'>two") == ["one", "two"]
+    assert found("<p a=\"x>one</p><p>two</p>") == ["one", "two"]
+    assert found("<p a=\"x<b>one</b></p>") == ["one"]
+
+
+def test_features_are_those_of_all_ancestors():
+    page = "<html><body><div class='a b'><div class='b c'><p>x</p></div><p>y.</p></div><p>z"
+    rows = [set(f) for f in extract.features(extract.blocks(page))]
+    assert {"div", ".a", ".b", ".c", "p", "body>div", "div>div", "div>p", "leaf p"} <= rows[0] and ".c" not in rows[1] and "div>div" not in rows[1]
+    assert {"p", "body>p"} <= rows[2] and not {"div", "div>p", ".a"} & rows[2]
+    assert all(len(f) == len(set(f)) for f in extract.features(extract.blocks(page)))
