@@ -17,7 +17,9 @@ Counts are partial aggregates by host, so a host with a third of all pages costs
 
 Null urls and urls without `://` have an empty host and path, and are judged like any host: by no rule, and by the
 counts of the empty host. Hosts without labels are judged by their domain's or suffix's prior. Without any labels, all is
-allowed. Repeated page ids are judged row by row.
+allowed. Pages without text have no outcome, and neither documents without text nor with null labels give one. Repeated page
+ids are judged row by row, equally long rules that fit go by the rule's text; columns other than page_id, url and html aren't
+read, whatever their names. An empty table gives an empty one.
 """
 
 from __future__ import annotations
@@ -40,8 +42,8 @@ STRENGTH = (2.0, 1e6)
 TWO_LABELS = "ac.uk co.in co.jp co.kr co.nz co.uk co.za com.ar com.au com.br com.cn com.mx com.tr gov.uk ne.jp net.au or.jp org.au org.uk".split()
 #: (verdict, rule): a rule is a host and a path that the url's path must start with.
 RULES = (("block", "com/en/"), ("allow", "example.com/en/7"), ("allow", "net/de/"), ("block", "example.net/de/8"), ("block", "org/es/"))
-#: Rules are part of the plan, so there may be only so many.
-MOST_RULES = 500
+#: So many rules are part of the plan; longer lists are joined as a table.
+PLAN_RULES = 100
 
 
 def host_of(url: Column) -> Column:
@@ -77,8 +79,6 @@ def domain_of(host: Column) -> Column:
 
 def ruled(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES) -> Column:
     """(rule, verdict) of the longest rule that fits, else null. A rule fits its host and all subdomains."""
-    if len(rules) > MOST_RULES:
-        raise ValueError(f"over {MOST_RULES} rules")
     out = None
     for verdict, rule in sorted(rules, key=lambda r: (-len(r[1]), r[1])):
         name, slash, rest = rule.partition("/")
@@ -88,6 +88,19 @@ def ruled(host: Column, path: Column, rules: Sequence[tuple[str, str]] = RULES)
     return out if out is not None else F.lit(None).cast("struct<rule: string, verdict: string>")
 
 
+def ruled_by_table(rows: DataFrame, rules: DataFrame) -> DataFrame:
+    """rows (columns host, path) with one more column, `ruled`, as `ruled` gives it; rules: rule and verdict, any number.
+
+    Each host is joined with the rules of itself and of the domains around it, each (host, path) once."""
+    places = rows.select("host", "path").distinct()
+    labels = F.split("host", r"\.")
+    ends = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda k: F.array_join(F.slice(labels, k, F.size(labels)), "."))
+    table = rules.distinct().select("rule", "verdict", F.substring_index("rule", "/", 1).alias("end"), F.expr("if(instr(rule, '/') > 0, substring(rule, instr(rule, '/')), '')").alias("start"))
+    fits = places.withColumn("end", F.explode(ends)).join(table, "end").filter(F.col("path").startswith(F.col("start")))
+    best = fits.groupBy("host", "path").agg(F.min_by(F.struct("rule", "verdict"), F.struct(-F.char_length("rule"), F.col("rule"), F.col("verdict"))).alias("ruled"))
+    return rows.join(best, ["host", "path"], "left")
+
+
 def _log_gamma(x: np.ndarray) -> np.ndarray:
     """Stirling's series, after moving the argument above 10."""
     x = np.asarray(x, float)
@@ -133,31 +146,34 @@ def beta_quantile(p: float, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return (low + high) / 2
 
 
-def strength(units: int, n: float, n2_n: float, spread: float, noise: float) -> float:
+def strength(units: int, groups: int, n: float, n2_n: float, spread: float, noise: float) -> float:
     """Prior strength by the method of moments.
 
-    n: labels in all units; n2_n: sum of n_i^2 / n over the level above; spread: sum of n_i (r_i - m)^2, r_i a unit's rate
-    and m its prior mean; noise: sum of m (1 - m) (1 - n_i / n) over units, what chance alone would give on the whole."""
+    units, in so many groups of the level above; n: labels in all units; n2_n: sum of n_i^2 / n over the level above; spread:
+    sum of n_i (r_i - m)^2, r_i a unit's rate and m its prior mean; noise: sum of m (1 - m) (1 - n_i / n) over units, what
+    chance alone would give on the whole. A group of k units adds m (1 - m) (k - 1) to it."""
     extra = spread - noise
     room = n - n2_n
-    if units < 2 or room <= 0 or extra <= 0 or noise <= 0:
+    if units <= groups or room <= 0 or extra <= 0 or noise <= 0:
         return STRENGTH[1]
     between = extra / room  # variance of the true rates
-    mean = noise / max(units - 1, 1)  # about m (1 - m)
+    mean = noise / (units - groups)  # about m (1 - m)
     return float(np.clip(mean / between - 1, *STRENGTH))
 
 
-def _level(units: DataFrame) -> float:
-    """The strength of a level's prior, from one aggregate over its units (columns n, bad, prior, group_n)."""
+def _level(units: DataFrame, above: Sequence[str] = ()) -> float:
+    """The strength of a level's prior, from one aggregate over its units (columns n, bad, prior, group_n, and those that
+    name the unit's group at the level above)."""
     n, m = F.col("n"), F.col("prior")
     r = units.filter(n > 0).agg(
         F.count(F.lit(1)).alias("units"),
+        (F.count_distinct(F.struct(*above)) if above else F.lit(1)).alias("groups"),
         F.sum(n).alias("n"),
         F.sum(n * n / F.col("group_n")).alias("n2"),
         F.sum(n * (F.col("bad") / n - m) ** 2).alias("spread"),
         F.sum(m * (1 - m) * (1 - n / F.col("group_n"))).alias("noise"),
     ).first()
-    return strength(r.units, r.n or 0.0, r.n2 or 0.0, r.spread or 0.0, r.noise or 0.0)
+    return strength(r.units, r.groups, r.n or 0.0, r.n2 or 0.0, r.spread or 0.0, r.noise or 0.0)
 
 
 def usual_rate(hosts: DataFrame, mean: float, everything: float) -> float:
@@ -191,16 +207,16 @@ def reputations(outcomes: DataFrame, confidence: float = CONFIDENCE, lift: float
     suffixes = hosts.groupBy("suffix").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad")).withColumn("prior", F.lit(mean)).withColumn("group_n", F.lit(float(everything)))
     domains = hosts.groupBy("suffix", "domain").agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
 
-    def settled(units: DataFrame) -> DataFrame:
-        worth = _level(units)
+    def settled(units: DataFrame, above: Sequence[str] = ()) -> DataFrame:
+        worth = _level(units, above)
         return units.withColumn("worth", F.lit(worth)).withColumn("rate", (F.col("prior") * worth + F.col("bad")) / (F.col("n") + worth))
 
     def under(units: DataFrame, above: DataFrame, on: list[str]) -> DataFrame:
         return units.join(above.select(*on, F.col("rate").alias("prior"), F.col("n").alias("group_n")), on)
 
     suffixes = settled(suffixes)
-    domains = settled(under(domains, suffixes, ["suffix"]))
-    hosts = settled(under(hosts, domains, ["suffix", "domain"]))
+    domains = settled(under(domains, suffixes, ["suffix"]), ["suffix"])
+    hosts = settled(under(hosts, domains, ["suffix", "domain"]), ["suffix", "domain"])
 
     @F.arrow_udf("double")
     def bound(a: pa.Array, b: pa.Array) -> pa.Array:
@@ -224,7 +240,8 @@ def outcomes_by_text(pages: DataFrame, documents: DataFrame, labels: DataFrame)
     rows = pages.select(host_of(F.col("url")).alias("host"), extract.extract(F.col("html"), spark).alias("text"))
     first, rest = F.substring_index("text", "\n", 1), F.expr("substring(text, instr(text, '\n') + 1)")
     body = F.when(F.col("text").contains("\n") & rest.startswith(F.rtrim(first)), rest).otherwise(F.col("text"))
-    squeezed = lambda c: F.xxhash64(F.regexp_replace(c, r"\s+", ""))
+    bare = lambda c: F.regexp_replace(c, r"\s+", "")
+    squeezed = lambda c: F.when(bare(c) != "", F.xxhash64(bare(c)))  # noqa: E731  # without text: null, and equal to nothing
     rows = rows.select("host", squeezed(body).alias("h")).groupBy("host", "h").agg(F.count(F.lit(1)).alias("pages"))
     marks = labels.groupBy("doc_id").agg(F.max((F.col("quality") == 0) | (F.coalesce(F.col("toxic"), F.lit(0)) == 1)).alias("bad")).filter("bad is not null")
     known = documents.filter("text is not null").select("doc_id", squeezed(F.col("text")).alias("h")).join(marks, "doc_id").groupBy("h").agg(F.max("bad").alias("bad"))
@@ -234,7 +251,10 @@ def outcomes_by_text(pages: DataFrame, documents: DataFrame, labels: DataFrame)
 def judge(pages: DataFrame, outcomes: DataFrame, rules: Sequence[tuple[str, str]] = RULES) -> DataFrame:
     """page_id, host, path, rule, verdict, host_labels, host_rate, host_bound of every page."""
     rows = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    rows = rows.withColumn("ruled", ruled(F.col("host"), F.col("path"), rules))
+    if len(rules) <= PLAN_RULES:
+        rows = rows.withColumn("ruled", ruled(F.col("host"), F.col("path"), rules))
+    else:
+        rows = ruled_by_table(rows, pages.sparkSession.createDataFrame([(r, v) for v, r in rules], "rule string, verdict string"))
     known = reputations(outcomes).select("host", F.col("n").cast("bigint").alias("host_labels"), F.round("rate", 9).alias("host_rate"), F.round("bound", 9).alias("host_bound"), "blocked")
     out = rows.join(known, "host", "left")
     own = F.when(F.coalesce("blocked", F.lit(False)), "block").otherwise("allow")
