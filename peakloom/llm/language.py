@@ -7,12 +7,13 @@ seen nowhere costs 8 more. Statistics are frozen after fitting, so the cost of e
 constant, worked out once for all languages, and scoring is a hash lookup per byte in vectors. The
 language with the shortest exact code for the whole text wins; ties go to the first name.
 
-Fitting uses a bounded sample: TRAIN_BYTES of text, shared evenly by the languages, whole rows in order of
-a hash of the id; a row of over ROW_BYTES isn't fitted on; of more than LANGUAGES languages the most frequent are
-learned. Those bounds also bound the broadcast model. Prediction reads every whole text.
+Fitting uses a bounded sample: TRAIN_BYTES of text, shared evenly by the languages, in order of a hash of id and text,
+equal rows once; of a row of over ROW_BYTES that many bytes are fitted on. Every language is learned, from one row at
+least. The model has a cost for each context and language, so of more than MANY languages the sample shrinks in
+proportion; that bounds the broadcast model. Prediction reads every whole text.
 
 Null texts and texts without a letter get `und` and score 0, and so does everything if nothing was learned. Rows
-with a null id are predicted but never learned from. Score: the winner's posterior under equal priors.
+with a null id are predicted but never learned from; rows that repeat an id are predicted row by row. Score: the winner's posterior under equal priors.
 """
 
 from __future__ import annotations
@@ -29,7 +30,7 @@ from .common import CHUNK_BYTES, blobs, chunks, text_batches
 ORDER = 4
 TRAIN_BYTES = 8 << 20
 ROW_BYTES = 1 << 20
-LANGUAGES = 64
+MANY = 64
 UNKNOWN = "und"
 #: What stands before a text, so that its first bytes have contexts too.
 START = b"\n" * ORDER
@@ -203,25 +204,24 @@ def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
-def sample(documents: DataFrame, total: int = TRAIN_BYTES, most: int = LANGUAGES) -> dict[str, list[bytes]]:
-    """Texts to learn from, by language: at most `total` bytes, whole rows of the learning part."""
-    learn = documents.select("doc_id", F.col("text").cast("binary").alias("t"), F.col("lang").cast("string").alias("lang"))
-    learn = learn.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & F.length("t").between(1, ROW_BYTES))
-    sums = learn.groupBy("lang").agg(F.sum(F.length("t")).alias("n")).orderBy(F.desc("n"), "lang").limit(most).collect()
+def sample(documents: DataFrame, total: int = TRAIN_BYTES, many: int = MANY) -> dict[str, list[bytes]]:
+    """Texts to learn from, by language: at most `total` bytes, rows of the learning part, or one row of each language."""
+    whole = F.col("text").cast("binary")
+    learn = documents.filter(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id")) & F.col("lang").isNotNull() & (F.length(whole) > 0))
+    draw = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.col("text")), 11) / F.lit(float(1 << 53))
+    learn = learn.select(F.col("lang").cast("string").alias("lang"), draw.alias("draw"), F.substring(whole, 1, ROW_BYTES).alias("t"))
+    sums = learn.groupBy("lang").agg(F.sum(F.length("t")).alias("n"), F.min("draw").alias("least")).collect()
     if not sums:
         return {}
-    share = total // len(sums)
-    draw = F.shiftrightunsigned(F.xxhash64(F.col("doc_id"), F.lit("sample")), 11) / F.lit(float(1 << 53))
-    chosen = None
-    for r in sums:
-        own = (F.col("lang") == r.lang) & (draw < min(1.0, 1.25 * share / r.n))
-        chosen = own if chosen is None else chosen | own
-    out: dict[str, list[bytes]] = {}
-    size = dict.fromkeys((r.lang for r in sums), 0)
-    for r in sorted(learn.filter(chosen).select("lang", draw.alias("draw"), "doc_id", "t").collect(), key=lambda r: (r.draw, str(r.doc_id), bytes(r.t))):
+    share = int(total * min(1.0, many / len(sums))) // len(sums)
+    limits = documents.sparkSession.createDataFrame([(r.lang, max(r.least, 1.25 * share / r.n)) for r in sums], "lang string, most double")
+    chosen = learn.join(F.broadcast(limits), "lang").filter("draw <= most").dropDuplicates(["lang", "draw"])
+    out: dict[str, list[bytes]] = {r.lang: [] for r in sums}
+    size = dict.fromkeys(out, 0)
+    for r in sorted(chosen.select("lang", "draw", "t").collect(), key=lambda r: (r.draw, bytes(r.t))):
         if not size[r.lang] or size[r.lang] + len(r.t) <= share:
             size[r.lang] += len(r.t)
-            out.setdefault(r.lang, []).append(bytes(r.t))
+            out[r.lang].append(bytes(r.t))
     return out
 
 

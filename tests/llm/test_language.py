@@ -4,6 +4,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from peakloom.llm import language
 
@@ -91,3 +92,19 @@ def test_sample_is_bounded_and_never_held_out(spark):
     for texts in got.values():
         assert 0 < sum(map(len, texts)) <= 50_000 or len(texts) == 1
         assert all(t in learned for t in texts) and not all(t in held for t in texts)
+
+
+def test_every_language_is_learned(spark, monkeypatch):
+    monkeypatch.setattr(language, "ROW_BYTES", 500)
+    rows = [(k, f"w{k % 100}q" * 40, f"l{k % 100}") for k in range(2000)] + [(5000 + k, "zzyx " * 1000, "long") for k in range(3)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, lang string")
+    got = language.sample(df, total=1 << 16)
+    assert set(got) == {f"l{k}" for k in range(100)} | {"long"} and all(got.values())
+    assert all(sum(map(len, x)) <= max(500, (1 << 16) * 64 // 101 // 101) for x in got.values())
+    found = language.identify(df.filter("doc_id < 100 or doc_id >= 5000")).collect()
+    assert len(found) == 103
+
+
+def test_a_repeated_row_is_drawn_once(spark):
+    one = spark.range(20_000).select(F.lit(next(k for k in range(99) if zlib.crc32(str(k).encode()) % 5)).cast("bigint").alias("doc_id"), F.lit("the same text " * 20).alias("text"), F.lit("en").alias("lang"))
+    assert language.sample(one) == {"en": [b"the same text " * 20]}
