@@ -274,7 +274,7 @@ def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     """One row of each component of near-duplicates, all columns unchanged.
 
     The text stays where it is until one semi join by (doc_id, hash of the text). Rows that repeat both are
-    told apart only if there are any: then a second aggregate keeps one of them."""
+    told apart only if there are any: then a second aggregate keeps the one whose other columns, as JSON, come first."""
     found = near_duplicates(df, text, doc_id)
     heads = found.filter("kept").groupBy("doc_id", "row_hash").agg(F.count(F.lit(1)).alias("n"))
     heads = checkpoint(heads)
@@ -284,6 +284,6 @@ def keep_one(df: DataFrame, text: str = "text", doc_id: str = "doc_id") -> DataF
     out = out.join(heads, match, "left_semi")
     if not heads.filter("n > 1").isEmpty():
         row = F.struct(*[F.col(f"`{c}`") for c in df.columns])
-        one = out.groupBy(F.col(doc_id).alias("_k"), F.col(h).alias("_h")).agg(F.any_value(row).alias("_row"))
+        one = out.groupBy(F.col(doc_id).alias("_k"), F.col(h).alias("_h")).agg(F.min_by(row, F.to_json(row)).alias("_row"))
         return one.select("_row.*")
     return out.select(*[F.col(f"`{c}`") for c in df.columns])
