@@ -2,15 +2,16 @@
 
 Words are runs of digits, letters a-z (A-Z lower-cased first) and non-ASCII characters, so they can be found in
 UTF-8 bytes. A benchmark item gives every window of `size` consecutive words; an item of fewer words, but not none,
-is one window. Windows are held as 64-bit hashes with their bytes beside them; a scan of the documents
+is one window. Windows are held as sorted 64-bit hashes, with places in the items' bytes; a scan of the documents
 looks rolling hashes up in vectors and verifies each hit byte by byte, so a hash collision changes nothing.
 
 The benchmark is measured before it is broadcast. If it has more than `bound` bytes, it is cut into blocks of at most
 that size, and the documents are scanned once for each block; hits and items add up to the same result. So
-neither the driver nor a worker holds more than a block.
+neither the driver nor a worker holds more than a block, which takes HELD times its text.
 
 Null and empty texts have no words and no hits. Items with null ids count for hits, not as items; repeated item ids
-count once. Equal items are fine. Documents of any length are scanned whole, in pieces cut between words.
+count once. Equal items are fine, and so are repeated documents. Documents of any length are scanned whole, in pieces cut
+between words. Other columns, whatever their names, pass through; an empty table on either side gives no hits.
 """
 
 from __future__ import annotations
@@ -27,8 +28,10 @@ from pyspark.sql import functions as F
 from .common import CHUNK_BYTES, blobs, free_name, text_batches
 
 SIZE = 10
-#: Bytes of benchmark text that one broadcast may hold.
-BOUND = 32 << 20
+#: Bytes of benchmark text that one broadcast may hold, and how many bytes a window set has at most for each
+#: (a word of one byte and its space: 24 of hash, place and item, 8 of word limits, and the text), besides its masks.
+BOUND = 8 << 20
+HELD = 20
 
 _BASE = 0x9E3779B97F4A7C15 | 1
 _MIX = np.uint64(0xD6E8FEB86659FD93)
@@ -92,38 +95,63 @@ def _windows(h: np.ndarray, size: int) -> np.ndarray:
 
 
 class WindowSet:
-    """The windows of a bounded block of benchmark items, by number of words and hash."""
+    """The windows of a bounded block of benchmark items, by number of words and hash: arrays, one row a window."""
 
     def __init__(self, items: list[tuple[object, bytes | None]], size: int = SIZE):
         self.size = size
-        #: number of words -> hash -> window's bytes (joined by a space) -> positions in ids
-        self.windows: dict[int, dict[int, dict[bytes, set[int]]]] = defaultdict(dict)
         self.ids: list[object] = []
-        self.masks: dict[int, np.ndarray] = {}
+        texts, starts, ends, hashes, first, owner = [], [], [], defaultdict(list), defaultdict(list), defaultdict(list)
+        at = words = 0
         for item, text in items:
             data = (text or b"").lower()
-            starts, ends, h = _words(data)
+            a, b, h = _words(data)
             if not len(h):
                 continue
-            words = [data[a:b] for a, b in zip(starts.tolist(), ends.tolist())]
-            n = min(size, len(words))
-            for k, x in enumerate(_windows(h, n).tolist()):
-                self.windows[n].setdefault(x, {}).setdefault(b" ".join(words[k : k + n]), set()).add(len(self.ids))
+            n = min(size, len(h))
+            x = _windows(h, n)
+            hashes[n].append(x)
+            first[n].append(words + np.arange(len(x), dtype=np.uint32))
+            owner[n].append(np.full(len(x), len(self.ids), np.uint32))
+            texts.append(data)
+            starts.append((a + at).astype(np.uint32))
+            ends.append((b + at).astype(np.uint32))
+            at, words = at + len(data), words + len(h)
             self.ids.append(item)
-        for n, found in self.windows.items():
+        self.data = b"".join(texts)
+        self.starts, self.ends = (np.concatenate(x) if x else np.zeros(0, np.uint32) for x in (starts, ends))
+        #: number of words -> sorted hashes, first words, items
+        self.windows: dict[int, tuple[np.ndarray, np.ndarray, np.ndarray]] = {}
+        self.masks: dict[int, np.ndarray] = {}
+        for n in list(hashes):
+            x = np.concatenate(hashes.pop(n))
+            order = np.argsort(x, kind="stable")
+            self.windows[n] = x[order], np.concatenate(first.pop(n))[order], np.concatenate(owner.pop(n))[order]
             mask = np.zeros(1 << 20, bool)
-            mask[np.array(list(found), np.uint64) >> np.uint64(44)] = True
+            mask[x >> np.uint64(44)] = True
             self.masks[n] = mask
 
+    def nbytes(self) -> int:
+        """What the arrays hold, without the masks (a MB for each number of words)."""
+        return len(self.data) + self.starts.nbytes + self.ends.nbytes + sum(a.nbytes for found in self.windows.values() for a in found)
+
+    def _same(self, window: int, words: list[bytes]) -> bool:
+        rows = slice(window, window + len(words))
+        return all(self.data[a:b] == w for a, b, w in zip(self.starts[rows].tolist(), self.ends[rows].tolist(), words))
+
     def hits(self, h: np.ndarray, doc: np.ndarray | None, word) -> Iterator[tuple[int, int, set[int]]]:
         """(first word, number of words, items) of each verified window. doc: the document of each word."""
-        for n, found in self.windows.items():
+        for n, (keys, first, owner) in self.windows.items():
             x = _windows(h, n)
             maybe = np.flatnonzero(self.masks[n][x >> np.uint64(44)])
             if doc is not None and len(maybe):
                 maybe = maybe[doc[maybe] == doc[maybe + n - 1]]
-            for k, key in zip(maybe.tolist(), x[maybe].tolist()):
-                if key in found and (items := found[key].get(b" ".join([word(i) for i in range(k, k + n)]))):
+            low = np.searchsorted(keys, x[maybe])
+            some = keys[np.minimum(low, len(keys) - 1)] == x[maybe]
+            maybe, low = maybe[some], low[some]
+            high = np.searchsorted(keys, x[maybe], "right")
+            for k, a, b in zip(maybe.tolist(), low.tolist(), high.tolist()):
+                words = [word(i) for i in range(k, k + n)]
+                if items := {int(owner[r]) for r in range(a, b) if self._same(int(first[r]), words)}:
                     yield k, n, items
 
 

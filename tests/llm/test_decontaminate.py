@@ -85,3 +85,19 @@ def test_long_texts_are_cut_between_words(monkeypatch):
     want = brute(docs, [(i, t) for i, t in items])
     for (key, _), n, m, f in zip(docs, n_words, masks, found):
         assert (n, 0 if m is None else m.sum(), len({held.ids[i] for i in f} - {None})) == want[key][:3]
+
+
+def test_a_block_takes_a_bounded_multiple_of_its_text():
+    rng = random.Random(1)
+    for word in (lambda: rng.choice("abcdefgh"), lambda: "".join(rng.choice("abcdefgh") for _ in range(6))):
+        items = [(str(k), " ".join(word() for _ in range(400)).encode()) for k in range(500)]
+        made = decontaminate.WindowSet(items)
+        assert made.nbytes() <= decontaminate.HELD * sum(len(t) for _, t in items)
+    assert decontaminate.BOUND * decontaminate.HELD <= 200 << 20
+
+
+def test_items_that_share_a_window():
+    items = [(str(k), b"one two three four five six seven eight nine ten" + (b" more" if k % 2 else b"")) for k in range(6)]
+    made = decontaminate.WindowSet(items)
+    n_words, masks, found, _ = decontaminate.scan([b"x One two three four five six seven eight nine ten y", b"nine ten more", b"", None], made)
+    assert found == [set(range(6)), set(), set(), set()] and masks[0].sum() == 10 and n_words.tolist() == [12, 3, 0, 0]
