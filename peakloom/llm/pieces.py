@@ -16,11 +16,14 @@ encoded as its three bytes, and bytes that aren't UTF-8 as byte pieces, so decod
 
 Null texts give null; empty texts give no pieces; null keys are a key like any other, rows with equal key and text get
 equal segmentations. Texts of any length are encoded whole, long ones in parts that end between segments, which changes nothing.
+Only one unbroken segment (no space, no line feed, no other character that stands alone) is filtered in one go, whatever its
+length. Columns other than id and text aren't read, whatever their names; an empty table gives an empty one.
 """
 
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -216,11 +219,14 @@ def _lattice(cp: np.ndarray, start: np.ndarray, size: np.ndarray, v: Vocabulary,
     return gain, into, (start + size) + np.arange(len(start))
 
 
-def _encode_chunk(texts: list[bytes], keys: np.ndarray, places: np.ndarray, v: Vocabulary, alpha: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Pieces of texts one after the other, how many each text has, and how many segments. places: of their first segments."""
+def _encode_chunk(texts: list[bytes], keys: np.ndarray, places: np.ndarray, v: Vocabulary, alpha: float, lead: bool = True) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Pieces of texts one after the other, how many each text has, and how many segments. places: of their first segments.
+    lead: whether a space is to stand before them; without it there is one text."""
     decoded = [t.decode("utf-8", "surrogateescape") for t in texts]
     sizes = np.fromiter((len(t) + 1 for t in decoded), np.int64, len(decoded))
-    cp = np.frombuffer((" " + " ".join(decoded)).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    cp = np.frombuffer(((" " if lead else "") + " ".join(decoded)).encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+    if not lead:
+        sizes -= 1
     ends = np.cumsum(sizes)
     begins = ends - sizes
     cp[cp == _SPACE] = _LITERAL
@@ -297,18 +303,39 @@ def _encode_chunk(texts: list[bytes], keys: np.ndarray, places: np.ndarray, v: V
     return out.astype(np.int32), doc_count, np.diff(np.r_[heads, len(start)])
 
 
-def _parts(text: bytes) -> list[bytes]:
-    """A long text, cut where a run of spaces begins and without the first of them, which every part gets back when encoded."""
-    out, at = [], 0
+def _parts(text: bytes, v: Vocabulary) -> Iterator[tuple[bytes, bool]]:
+    """A long text, cut where segments begin, and whether a space is to stand before the part: at a run of spaces, without the
+    first of them, or at a character that stands alone."""
+    at, lead = 0, True
     while len(text) - at > 2 * CHUNK:
-        cut = text.find(b" ", at + CHUNK)
-        while cut > 0 and text[cut - 1 : cut] == b" ":
-            cut = text.find(b" ", cut + 1)
-        if cut < 0:
-            break
-        out.append(text[at:cut])
-        at = cut + 1
-    return [*out, text[at:] if at else text]
+        low = at + CHUNK
+        while True:  # look through the text in steps
+            high = min(low + CHUNK, len(text))
+            cut = text.find(b" ", low, high)
+            while cut > 0 and text[cut - 1 : cut] == b" ":
+                cut = text.find(b" ", cut + 1, high)
+            if cut >= 0:
+                yield text[at:cut], lead
+                at, lead = cut + 1, True
+                break
+            a, b = low, high  # whole characters
+            while a < b and text[a] & 0xC0 == 0x80:
+                a += 1
+            while b < len(text) and b > a and text[b] & 0xC0 == 0x80:
+                b -= 1
+            window = text[a:b].decode("utf-8", "surrogateescape")
+            cp = np.frombuffer(window.encode("utf-32-le", "surrogatepass"), np.uint32).astype(np.int64)
+            found = np.flatnonzero(v.alone[cp] & (cp != 0x20) & ((cp < _RAW) | (cp > _RAW + 0x3FF)))
+            if len(found):
+                cut = a + len(window[: found[0]].encode("utf-8", "surrogateescape"))
+                yield text[at:cut], lead
+                at, lead = cut, False
+                break
+            if high == len(text):
+                yield text[at:], lead
+                return
+            low = high
+    yield text[at:], lead
 
 
 def encode_batch(texts: list[bytes | None], keys: np.ndarray, v: Vocabulary, alpha: float = ALPHA) -> tuple[np.ndarray, np.ndarray]:
@@ -323,8 +350,8 @@ def encode_batch(texts: list[bytes | None], keys: np.ndarray, v: Vocabulary, alp
             stop += 1
         own = some[at:stop]
         place = np.zeros(len(own), np.int64)
-        for part in [[texts[k] for k in own]] if len(own) > 1 else [[x] for x in _parts(texts[own[0]])]:
-            ids, n, segments = _encode_chunk(part, keys[own], place, v, alpha)
+        for part, lead in [([texts[k] for k in own], True)] if len(own) > 1 else (([x], lead) for x, lead in _parts(texts[own[0]], v)):
+            ids, n, segments = _encode_chunk(part, keys[own], place, v, alpha, lead)
             done.append(ids)
             counts[own] += n
             place = place + segments

@@ -95,3 +95,35 @@ def test_columns(spark, v):
 def test_unknown_piece_is_an_error(v):
     with pytest.raises(ValueError):
         pieces.decode_batch(np.array([10**6]), np.array([1]), v)
+
+
+def test_parts_without_spaces(v, monkeypatch):
+    rng = random.Random(5)
+    texts = ["".join(rng.choice(a) for _ in range(900)).encode() for a in ("ab\n", "日本語文字", "aé日\n ", "a▁\t", "x", "\r \n日a")]
+    texts += [b"\xff\n" * 300, b"\x80\xe6\x97" * 200 + "日".encode() * 90]
+    whole = sampled(texts, v)
+    for chunk in (7, 40, 64, 333):
+        monkeypatch.setattr(pieces, "CHUNK", chunk)
+        assert whole == sampled(texts, v), chunk
+        for t in texts:
+            parts = list(pieces._parts(t, v))
+            assert b"".join((b" " if lead and k else b"") + p for k, (p, lead) in enumerate(parts)) == t
+    assert len(list(pieces._parts(texts[1], v))) > 3
+
+
+def test_a_long_text_without_spaces_takes_bounded_memory():
+    import subprocess
+    import sys
+
+    code = """
+import resource, numpy as np
+from peakloom.llm import pieces
+v = pieces.vocabulary(pieces.model_path())
+text = "日本語のテキスト\\n1234567890abcdef\\n".encode() * 600_000
+ids, counts = pieces.encode_batch([text], np.zeros(1, np.uint64), v)
+assert pieces.decode_batch(ids, counts, v) == [text]
+print(len(text), resource.getrusage(resource.RUSAGE_SELF).ru_maxrss // 1024)
+"""
+    out = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, timeout=300, check=True, cwd=str(__import__("pathlib").Path(__file__).parents[2]))
+    size, peak = map(int, out.stdout.split())
+    assert size > 20 << 20 and peak < 1500, (size, peak)
