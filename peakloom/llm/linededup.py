@@ -37,7 +37,7 @@ from .common import free_name, stored
 
 #: Percent.
 THRESHOLD = 80
-BINS = 1 << 18
+BINS = 1 << 17
 #: Sets of up to SHORT words have a signature of 64 bits, of up to LONG words one of 128 bits, larger ones of 256.
 SHORT, LONG = 64, 192
 SIGNATURES = ("s1", "s2", "s3", "s4")
@@ -156,15 +156,33 @@ def _small(rows: DataFrame, most: int) -> DataFrame:
     return F.broadcast(rows) if rows.count() * (8 * len(rows.columns) + 48) <= most else rows
 
 
+#: Bands of the smaller member's size, and the signatures that are compared in each: longer ones fold into shorter ones.
+BANDS = (
+    (1, SHORT, ("s1 ^ s2 ^ s3 ^ s4",)),
+    (SHORT + 1, LONG, ("s1 ^ s3", "s2 ^ s4")),
+    (LONG + 1, (1 << 31) - 1, SIGNATURES),
+)
+
+
 def _meetings(classes: DataFrame, t: int, broadcast_bytes: int) -> DataFrame:
-    """(k1, word) of the classes that have another one behind the filters, and the words where they meet."""
-    entries = classes.select("k1", "n", *SIGNATURES, F.posexplode("p").alias("i", "word"))
-    short = entries.filter((100 + t) * (F.col("n") - F.col("i")) >= 2 * t * F.col("n"))
-    meet = (F.col("x.word") == F.col("y.word")) & (F.col("x.k1") != F.col("y.k1")) & _close("x", "y", t) & _positional("x", "y", t)
-    larger = stored(entries.alias("x").join(short.alias("y"), meet & (F.col("y.n") <= F.col("x.n")), "left_semi"))
-    here = short.join(_small(larger.select("word").distinct(), broadcast_bytes), "word", "left_semi")
-    smaller = here.alias("x").join(larger.alias("y"), meet & (F.col("y.n") > F.col("x.n")), "left_semi")
-    return larger.select("k1", "word").union(smaller.select("k1", "word")).distinct()
+    """(k1, word) of the classes that have another one behind the filters, and the words where they meet.
+
+    One band of sizes after the other, so that rows carry no more signatures than they need and shuffle files of one band
+    at a time are on disk."""
+    met = []
+    for low, high, signatures in BANDS:
+        own = [F.expr(x).alias(f"g{k}") for k, x in enumerate(signatures)]
+        entries = classes.filter((F.col("n") >= low) & (F.col("n") * t <= 100 * high)).select("k1", "n", *own, F.posexplode("p").alias("i", "word"))
+        short = entries.filter((F.col("n") <= high) & ((100 + t) * (F.col("n") - F.col("i")) >= 2 * t * F.col("n")))
+        bits = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"x.g{k}").bitwiseXOR(F.col(f"y.g{k}"))) for k in range(len(own))])
+        both = F.col("x.n") + F.col("y.n")
+        meet = (F.col("x.word") == F.col("y.word")) & (F.col("x.k1") != F.col("y.k1")) & ((100 + t) * bits <= (100 - t) * both) & _positional("x", "y", t)
+        larger = (F.col("y.n") <= F.col("x.n")) & (100 * F.col("y.n") >= t * F.col("x.n"))
+        smaller = (F.col("y.n") > F.col("x.n")) & (t * F.col("y.n") <= 100 * F.col("x.n"))
+        found = stored(entries.alias("x").join(short.alias("y"), larger & meet, "left_semi"))
+        here = short.join(_small(found.select("word").distinct(), broadcast_bytes), "word", "left_semi")
+        met += [found.select("k1", "word"), here.alias("x").join(found.alias("y"), smaller & meet, "left_semi").select("k1", "word")]
+    return reduce(DataFrame.union, met).distinct()
 
 
 def kept_lines(documents: DataFrame, threshold: int = THRESHOLD, bins: int = BINS, broadcast_bytes: int = BROADCAST_BYTES) -> DataFrame:

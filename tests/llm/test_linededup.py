@@ -62,7 +62,7 @@ def corpus(seed, n):
     return docs
 
 
-@pytest.mark.parametrize(("seed", "threshold", "bins", "broadcast"), [(1, 80, 1 << 10, 10**9), (2, 80, 16, 0), (3, 90, 1 << 18, 10**9), (4, 60, 64, 10**9)])
+@pytest.mark.parametrize(("seed", "threshold", "bins", "broadcast"), [(1, 80, 1 << 10, 10**9), (2, 80, 16, 0), (3, 90, 1 << 17, 10**9), (4, 60, 64, 10**9)])
 def test_matches_brute_force(spark, seed, threshold, bins, broadcast):
     rows = corpus(seed, 120)
     order_of(spark, rows)
@@ -123,7 +123,7 @@ def test_thresholds_at_the_ends(spark):
     rows = [(1, "a b c d"), (2, "a b c d e"), (3, "a b c"), (4, "d c b a"), (5, "a b c e")]
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     order_of(spark, rows)
-    for t in (1, 50, 60, 75, 80, 99, 100):
+    for t in (1, 75, 80, 100):
         assert kept(df, t) == {d: v for (d, _), v in brute(rows, t).items()}, t
 
 
