@@ -38,8 +38,9 @@ from .common import free_name, stored
 #: Percent.
 THRESHOLD = 80
 BINS = 1 << 17
-#: Sets of up to SHORT words have a signature of 64 bits, of up to LONG words one of 128 bits, larger ones of 256.
-SHORT, LONG = 64, 192
+#: Sets of up to SHORT words have a signature of 64 bits, of up to LONG words one of 128 bits, larger ones of 256: as long as
+#: half the bits are clearly more than two similar sets may differ in.
+SHORT, LONG = 80, 192
 SIGNATURES = ("s1", "s2", "s3", "s4")
 #: Bytes of slim rows that may be broadcast as keys, by their count; beyond that they are joined by shuffling.
 BROADCAST_BYTES = 32 << 20
@@ -201,9 +202,10 @@ def kept_lines(documents: DataFrame, threshold: int = THRESHOLD, bins: int = BIN
     wanted = stored(classes.join(_small(found, broadcast_bytes), "k1", "left_semi").select("k1", "k2", "n", *SIGNATURES, *place))
     mine = _small(wanted.select("t1", "t2").distinct(), broadcast_bytes)
     t1, t2 = _keys(F.col("doc_id"), F.col("text"))
-    lines = _lines(documents.join(mine, (t1 == F.col("t1")) & (t2 == F.col("t2")), "left_semi"))
-    lines = lines.select(F.col("at").alias("first"), "line", *[F.col(f"at.{c}").alias(c) for c in ("t1", "t2", "line_no")])
-    full = lines.join(_small(wanted, broadcast_bytes), ["t1", "t2", "line_no"]).select("k1", "k2", "first", "n", *SIGNATURES, "line").dropDuplicates(["k1", "k2"])
+    whole = documents.select("doc_id", t1.alias("t1"), t2.alias("t2"), F.split("text", "\n").alias("lines")).join(mine, ["t1", "t2"], "left_semi").dropDuplicates(["t1", "t2"])
+    places = wanted.groupBy("t1", "t2").agg(F.collect_list(F.struct("line_no", "k1", "k2", "n", *SIGNATURES)).alias("own"))
+    full = whole.join(places, ["t1", "t2"]).select("doc_id", "t1", "t2", "lines", F.explode("own").alias("c"))
+    full = full.select("c.k1", "c.k2", F.struct("doc_id", "t1", "t2", "c.line_no").alias("first"), "c.n", *[f"c.{x}" for x in SIGNATURES], F.get("lines", F.col("c.line_no")).alias("line"))
     full = stored(full.withColumn("line", _words(F.col("line"), levels, bins)).withColumnRenamed("line", "w"))
 
     # an earlier class that is really similar. The earliest class of a word is tried first: in a cluster that settles nearly
