@@ -18,7 +18,9 @@ def _bin(df: DataFrame, key: str, bins: int) -> Column:
     low, high = df.agg(F.min(key), F.max(key)).first()
     if low is None:
         return F.lit(0)
-    return F.coalesce(F.floor((F.col(key) - F.lit(low)) * bins / F.lit(high - low + 1)).cast("int"), F.lit(-1))
+    # as doubles: never out of range, and in order, which is all that bins need
+    place = (F.col(key).cast("double") - F.lit(float(low))) / F.lit(max(float(high) - float(low), 1e-300)) * bins
+    return F.when(F.col(key).isNull(), -1).otherwise(F.least(F.floor(place), F.lit(bins - 1)).cast("int"))
 
 
 def running_total(df: DataFrame, key: str, value: Column, name: str, ties: tuple[str, ...] = (), bins: int = BINS) -> DataFrame:

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import codecs, columns
 from ..functions import transforms as T
 from ..operators import analysis, prefix, selection
+from ..sources import container, mzml
 from .session import ship
 from .views import HEADERS_SQL as H
 from .views import PEAKS_SQL as P
@@ -423,14 +424,8 @@ def decode_arrays(spark, d):
     return rows.select("vec_id", F.posexplode(codecs.decode_binary_udf("<f4", codecs.ZLIB)(F.col("t"))).alias("pos", "v"))
 
 
-@query("select doc_id, to_base64(encode(text)) as b64, text as restored from (select doc_id, substr(text, 1, 40) as text from documents)")
-def base64_roundtrip(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.base64(F.encode(F.substring("text", 1, 40), "UTF-8")).alias("b64"))
-    return rows.select("doc_id", F.regexp_replace("b64", "[\r\n]", "").alias("b64"), F.decode(F.unbase64("b64"), "UTF-8").alias("restored"))
-
-
 @query("select doc_id, to_base64(encode(text)) as b64, text as restored from documents")
-def base64_whole(spark, d):
+def base64_roundtrip(spark, d):
     rows = table(spark, d, "documents").select("doc_id", F.base64(F.encode("text", "UTF-8")).alias("b64"))
     return rows.select("doc_id", F.regexp_replace("b64", "[\r\n]", "").alias("b64"), F.decode(F.unbase64("b64"), "UTF-8").alias("restored"))
 
@@ -541,18 +536,11 @@ def tic_heatmap(spark, d):
     return analysis.heat_map(signal(spark, d), F.bround("value", 0), (F.col("user_id") % 10).cast("int"), F.col("value"))
 
 
-@query("""select user_id, cast(sum(c) filter (event_type = 'click') as bigint) as click, cast(sum(c) filter (event_type = 'view') as bigint) as "view",
-  cast(sum(c) filter (event_type = 'purchase') as bigint) as purchase from (select *, cast(round(value * 100) as bigint) c from events) group by 1""")
-def tic_pivot(spark, d):
-    rows = signal(spark, d).select("user_id", "event_type", big(F.round(F.col("value") * 100)).alias("c"))
-    return rows.groupBy("user_id").pivot("event_type", ["click", "view", "purchase"]).agg(F.sum("c"))
-
-
 EVENT_TYPES = ("click", "view", "purchase", "error", "signup")
 
 
 @query("select user_id, " + ", ".join(f"""cast(sum(c) filter (event_type = '{t}') as bigint) as "{t}\"""" for t in EVENT_TYPES) + " from (select *, cast(round(value * 100) as bigint) c from events) group by 1")
-def tic_pivot_all(spark, d):
+def tic_pivot(spark, d):
     rows = signal(spark, d).select("user_id", "event_type", big(F.round(F.col("value") * 100)).alias("c"))
     return rows.groupBy("user_id").pivot("event_type", list(EVENT_TYPES)).agg(F.sum("c"))
 
@@ -632,6 +620,75 @@ def tic_tumbling(spark, d):
     return rows.agg(F.count(F.lit(1)).alias("n"), F.sum(big(F.round(F.col("value") * 100))).alias("tic_cents"))
 
 
+# -- documents and containers: orders are spectra, their lines are peaks, 4,000 order keys make a file ------------------
+
+_FILE = "cast(scan // 4000 as bigint)"
+_STORED = f"""(select h.scan, {_FILE.replace('scan', 'h.scan')} as file, dense_rank() over (partition by {_FILE.replace('scan', 'h.scan')} order by h.scan) - 1 as index,
+  row_number() over (partition by h.scan order by mz, l_linenumber) - 1 as pos, ms_level, rt_days, mz, intensity from {H} h join {P} p on h.scan = p.scan)"""
+#: What is looked up by index in each file: both ends of its first and second block, and more.
+LOOKUP = [0, 1, 2, 40, 499, 500, 777, 1000]
+_LOOKED = f"index in ({', '.join(map(str, LOOKUP))})"
+#: Small blocks, so that files have several.
+_OPTIONS = container.Options(blocksize=200_000)
+
+
+def documents_from_tables(spark, d, **options):
+    """(path, content) of documents."""
+    own = peaks(spark, d).groupBy("scan").agg(F.sort_array(F.collect_list(F.struct("mz", "l_linenumber", "intensity"))).alias("p"))
+    rows = headers(spark, d).join(own, "scan").select("scan", "ms_level", F.col("rt_days").cast("double").alias("retention_time"), F.col("p.mz").alias("mz"), F.col("p.intensity").alias("intensity"))
+    return mzml.documents_of(rows.withColumn("file", F.floor(F.col("scan") / 4000).cast("bigint")), "file", compression=codecs.ZLIB)
+
+
+def _stored_peaks(spectra, *more):
+    rows = spectra.select(F.col("file").cast("bigint").alias("file"), big(F.col("index")).alias("index"), big(F.col("scan")).alias("scan"), F.col("ms_level").cast("int").alias("ms_level"), *more, F.posexplode(F.arrays_zip("mz", "intensity")).alias("pos", "p"))
+    return rows.select("file", "index", "scan", "ms_level", *[c for c in rows.columns if c == "rt_days"], big(F.col("pos")).alias("pos"), "p.mz", "p.intensity")
+
+
+_COLUMNS = "file, cast(index as bigint) as index, scan, ms_level, cast(pos as bigint) as pos, mz, cast(intensity as double) as intensity"
+
+
+@query(f"select file, cast(index as bigint) as index, scan, ms_level, rt_days, cast(pos as bigint) as pos, mz, cast(intensity as double) as intensity from {_STORED}")
+def mzml_roundtrip(spark, d):
+    """Documents written on executors and read again."""
+    return _stored_peaks(mzml.spectra_of(documents_from_tables(spark, d)), F.col("retention_time").cast("bigint").alias("rt_days"))
+
+
+@query(f"select {_COLUMNS} from {_STORED}")
+def container_roundtrip(spark, d):
+    """Documents compressed into containers and read from there."""
+    return _stored_peaks(container.spectra_of(container.compress_contents(documents_from_tables(spark, d), _OPTIONS)))
+
+
+@query(f"select {_COLUMNS} from {_STORED}")
+def container_decompress(spark, d):
+    """Containers made documents again, and those read."""
+    made = container.compress_contents(documents_from_tables(spark, d), _OPTIONS)
+    return _stored_peaks(mzml.spectra_of(container.decompress_contents(made)))
+
+
+@query(f"select {_COLUMNS} from {_STORED} where {_LOOKED}")
+def container_lookup(spark, d):
+    """Random access by index: only the blocks with these spectra are decompressed."""
+    return _stored_peaks(container.spectra_of(container.compress_contents(documents_from_tables(spark, d), _OPTIONS), LOOKUP))
+
+
+@query(f"select file, cast(n as bigint) as index, scan, ms_level, cast(pos as bigint) as pos, mz, cast(intensity as double) as intensity from (select *, dense_rank() over (partition by file order by index) - 1 as n from {_STORED} where {_LOOKED})")
+def subset_roundtrip(spark, d):
+    """Documents of some spectra of each container, and what they hold."""
+    made = container.compress_contents(documents_from_tables(spark, d), _OPTIONS)
+    return _stored_peaks(mzml.spectra_of(container.extract_contents(made, LOOKUP)))
+
+
+@query(f"select file, cast(count(distinct scan) as bigint) as num_spectra, cast({columns.CONTAINER_MAGIC} as bigint) as magic_tag, true as whole, true as ordered from {_STORED} group by 1")
+def container_footer(spark, d):
+    """Footers of containers: their counts, and that sizes and sections are those of the documents."""
+    documents = documents_from_tables(spark, d)
+    rows = container.footers_of(container.compress_contents(documents, _OPTIONS))
+    size = documents.select(F.col("path").alias("file"), big(F.octet_length("content")).alias("size"))
+    ordered = (F.col("xml_pos") <= F.col("mz_binary_pos")) & (F.col("mz_binary_pos") <= F.col("inten_binary_pos")) & (F.col("inten_binary_pos") <= F.col("xml_blk_pos")) & (F.col("n_divisions") >= 2)
+    return rows.join(size, "file").select(F.col("file").cast("bigint").alias("file"), "num_spectra", big(F.col("magic_tag")).alias("magic_tag"), (F.col("original_filesize") == F.col("size")).alias("whole"), ordered.alias("ordered"))
+
+
 def queries() -> dict[str, Query]:
     return dict(QUERIES)
 

@@ -87,7 +87,7 @@ class Index:
 def index_document(data: bytes) -> tuple[Index, tuple[str, str, int]]:
     """Positions of a whole document, and (m/z type, intensity type, source compression) of its first spectrum."""
     out = Index([], [], [], [], [], [], len(data))
-    kinds = ("<f8", "<f8", codecs.NO_COMPRESSION)
+    kinds, typed = ("<f8", "<f8", codecs.NO_COMPRESSION), False
     past = 0
     for m in _SPECTRUM.finditer(data):
         xml = m.group()
@@ -95,11 +95,13 @@ def index_document(data: bytes) -> tuple[Index, tuple[str, str, int]]:
         while len(bodies) < 2:  # no or empty elements: empty intervals
             bodies.append((bodies[-1][1] if bodies else m.end(),) * 2)
         (a, b), (c, d) = bodies[:2]
-        if not out.spectra:
-            arrays = [mzml._terms(x.group()) for x in mzml._ARRAY.finditer(xml)][:2]
-            types = [next((t for code, t in codecs.ELEMENT_TYPES.items() if code in own), "<f8") for own in arrays]
-            types += ["<f8"] * (2 - len(types))
-            kinds = (types[0], types[1], codecs.ZLIB if any(codecs.ZLIB in own for own in arrays) else codecs.NO_COMPRESSION)
+        arrays = [mzml._terms(x.group()) for x in mzml._ARRAY.finditer(xml)][:2]
+        own = tuple(next((t for code, t in codecs.ELEMENT_TYPES.items() if code in a), "<f8") for a in arrays)
+        own += (codecs.ZLIB if any(codecs.ZLIB in a for a in arrays) else codecs.NO_COMPRESSION,)
+        if len(own) == 3 and (a < b or c < d):  # a container holds one type for each array; spectra without peaks have none
+            if typed and own != kinds:
+                raise ValueError(f"spectrum {len(out.spectra)} has arrays of {own}, earlier ones of {kinds}: a container can't hold both")
+            kinds, typed = own, True
         row = mzml.read_spectrum(xml, m.start(), ())
         out.spectra.append(m.span())
         out.xml += [(past, a), (b, c)]
@@ -257,6 +259,8 @@ class Container:
             at += 4 + 2 * k
             self.divisions.append(Index(*lists, scans, levels, size))
         self._cache: dict[tuple[str, int], bytes] = {}
+        self._decoded: dict[str, tuple[int, list[np.ndarray]]] = {}
+        self._cuts: tuple[int, list[int]] = (-1, [])
 
     def block(self, stream: str, division: int) -> bytes:
         """A decompressed block; the last one of each stream is kept."""
@@ -270,7 +274,12 @@ class Container:
         return codecs.ELEMENT_TYPES[self.format["source_mz_fmt" if stream == "mz" else "source_inten_fmt"]]
 
     def arrays(self, stream: str, division: int) -> list[np.ndarray]:
-        """All arrays of a division, by the type and transform of their own stream."""
+        """All arrays of a division, by the type and transform of their own stream; the last division of each stream is kept."""
+        if self._decoded.get(stream, (None,))[0] != division:
+            self._decoded[stream] = division, self._decode(stream, division)
+        return self._decoded[stream][1]
+
+    def _decode(self, stream: str, division: int) -> list[np.ndarray]:
         d = self.divisions[division]
         spans = d.mz if stream == "mz" else d.inten
         name = T.transform(self.format["target_mz_format" if stream == "mz" else "target_inten_format"]).name
@@ -297,10 +306,16 @@ class Container:
     def _text(self, values: np.ndarray) -> bytes:
         return codecs.encode_binary(values, self.format["source_compression"])
 
+    def _xml_cuts(self, division: int) -> list[int]:
+        """Where the pieces of a division's XML begin in its block, and the end."""
+        if self._cuts[0] != division:
+            self._cuts = division, np.cumsum([0, *[b - a for a, b in self.divisions[division].xml]]).tolist()
+        return self._cuts[1]
+
     def _division_bytes(self, division: int) -> Iterator[tuple[str, bytes]]:
         """The pieces of a division in order of the document."""
         d, xml = self.divisions[division], self.block("xml", division)
-        cuts = np.cumsum([0, *[b - a for a, b in d.xml]]).tolist()
+        cuts = self._xml_cuts(division)
         pieces = [xml[a:b] for a, b in zip(cuts, cuts[1:])]
         mz, inten = (self.arrays(s, division) if d.spectra else [] for s in ("mz", "inten"))
         for k in range(len(d.spectra)):
@@ -312,22 +327,30 @@ class Container:
             yield "xml", p
 
     def decompress(self) -> bytes:
-        """The document."""
-        return b"".join(p for k in range(len(self.divisions)) for _, p in self._division_bytes(k))
+        """The document. Arrays kept without loss must give the MD5 that was stored."""
+        out = b"".join(p for k in range(len(self.divisions)) for _, p in self._division_bytes(k))
+        lossless = all(T.transform(self.format[f"target_{s}_format"]).lossless for s in ("mz", "inten"))
+        if lossless and len(out) == self.footer["original_filesize"] and hashlib.md5(out).hexdigest() != self.md5:
+            raise ValueError("the document's MD5 isn't the stored one")
+        return out
 
     def spectrum_xml(self, index: int) -> bytes:
-        """One <spectrum> element, put together from the pieces that overlap it; only its own division is read."""
+        """One <spectrum> element: its pieces of XML and its arrays, encoded again; only its own division is decompressed, once."""
         division, k = self.locate(index)
         d = self.divisions[division]
         start, end = d.spectra[k]
-        pieces = list(self._division_bytes(division))[4 * k : 4 * k + 4]
-        head, (_, middle) = pieces[0][1], pieces[2]
-        (a, _), (_, inten_end) = d.xml[2 * k], d.inten[k]
-        body = head[start - a :] + pieces[1][1] + middle + pieces[3][1]
+        xml, cuts = self.block("xml", division), self._xml_cuts(division)
+        head, middle = xml[cuts[2 * k] + start - d.xml[2 * k][0] : cuts[2 * k + 1]], xml[cuts[2 * k + 1] : cuts[2 * k + 2]]
+        mz, inten = (self._text(self.arrays(s, division)[k]) for s in ("mz", "inten"))
         # what follows the second array stands in the next piece of XML, perhaps in the next division
-        rest = end - inten_end
-        after = self.block("xml", division)[sum(y - x for x, y in d.xml[: 2 * k + 2]) :][:rest] if 2 * k + 2 < len(d.xml) else self.block("xml", division + 1)[:rest]
-        return body + after
+        rest = end - d.inten[k][1]
+        after = xml[cuts[2 * k + 2] : cuts[2 * k + 2] + rest] if 2 * k + 2 < len(d.xml) else self._next_xml(division)[:rest]
+        return head + mz + middle + inten + after
+
+    def _next_xml(self, division: int) -> bytes:
+        """The XML of the next division, without giving up the block of this one."""
+        size, packed, at = self.blocks["xml"][division + 1]
+        return codecs.decompressor(self.codecs["xml"])(bytes(self.data[at : at + packed]), size) if size else b""
 
     def extract(self, indices: Iterable[int]) -> bytes:
         """The document with only these spectra: what stands before the first, they, and what stands after the last."""
@@ -373,10 +396,57 @@ def compress_files(spark: SparkSession, path: str, out: str, options: Options |
     return files.mapInPandas(run, "path string, output string, original_size bigint, compressed_size bigint, md5 string")
 
 
+def _contents(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.format("binaryFile").load(path).select("path", "content")
+
+
+def compress_contents(documents: DataFrame, options: Options | None = None) -> DataFrame:
+    """(path, content) of containers from (path, content) of documents; a document must fit a task."""
+    ship(documents.sparkSession)
+    o = options or Options()
+
+    def run(batches):
+        for pdf in batches:
+            pdf["content"] = [compress(bytes(x), o) for x in pdf["content"]]
+            yield pdf
+
+    return documents.select("path", "content").mapInPandas(run, "path string, content binary")
+
+
+def extract_contents(containers: DataFrame, indices: list[int]) -> DataFrame:
+    """(path, content) of documents with only these spectra of each container; indices that a container doesn't have are left out."""
+    ship(containers.sparkSession)
+
+    def run(batches):
+        for pdf in batches:
+            made = [Container(bytes(x)) for x in pdf["content"]]
+            pdf["content"] = [c.extract([i for i in indices if i < len(c)]) for c in made]
+            yield pdf
+
+    return containers.select("path", "content").mapInPandas(run, "path string, content binary")
+
+
+def decompress_contents(containers: DataFrame) -> DataFrame:
+    """(path, content) of the documents of containers."""
+    ship(containers.sparkSession)
+
+    def run(batches):
+        for pdf in batches:
+            pdf["content"] = [Container(bytes(x)).decompress() for x in pdf["content"]]
+            yield pdf
+
+    return containers.select("path", "content").mapInPandas(run, "path string, content binary")
+
+
 def read_containers(spark: SparkSession, path: str, indices: list[int] | None = None) -> DataFrame:
-    """Spectra of containers: (file, index, scan, ms_level, division_id, mz, intensity); with `indices` only the blocks that
-    hold them are decompressed."""
-    ship(spark)
+    """Spectra of containers that Spark can list, see `spectra_of`."""
+    return spectra_of(_contents(spark, path), indices)
+
+
+def spectra_of(containers: DataFrame, indices: list[int] | None = None) -> DataFrame:
+    """Spectra of containers (path, content): (file, index, scan, ms_level, division_id, mz, intensity); with `indices` only
+    the blocks that hold them are decompressed."""
+    ship(containers.sparkSession)
     wanted = None if indices is None else set(indices)
 
     def run(batches):
@@ -393,8 +463,7 @@ def read_containers(spark: SparkSession, path: str, indices: list[int] | None =
                         yield pd.DataFrame({"file": file, "index": [first + i for i in own], "scan": [d.scans[i] for i in own], "ms_level": [d.levels[i] for i in own], "division_id": k, "mz": [mz[i].astype(float) for i in own], "intensity": [inten[i].astype(float) for i in own]})
                     first += len(d.spectra)
 
-    files = spark.read.format("binaryFile").load(path).select("path", "content")
-    return files.mapInPandas(run, "file string, index bigint, scan bigint, ms_level int, division_id int, mz array<double>, intensity array<double>")
+    return containers.select("path", "content").mapInPandas(run, "file string, index bigint, scan bigint, ms_level int, division_id int, mz array<double>, intensity array<double>")
 
 
 def blocks(spark: SparkSession, path: str) -> DataFrame:
@@ -415,7 +484,12 @@ def blocks(spark: SparkSession, path: str) -> DataFrame:
 
 def footers(spark: SparkSession, path: str) -> DataFrame:
     """One row with the footer of every container; write it with `.write.csv(header=True)` to describe files."""
-    ship(spark)
+    return footers_of(_contents(spark, path))
+
+
+def footers_of(containers: DataFrame) -> DataFrame:
+    """The footers of containers (path, content)."""
+    ship(containers.sparkSession)
 
     def run(batches):
         import pandas as pd
@@ -424,7 +498,7 @@ def footers(spark: SparkSession, path: str) -> DataFrame:
             yield pd.DataFrame([{"file": f, **Container(bytes(d)).footer} for f, d in zip(pdf["path"], pdf["content"])])
 
     fields = "file string, " + ", ".join(f"{n} {'int' if n in FOOTER_NAMES[-4:] else 'bigint'}" for n in FOOTER_NAMES)
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, fields)
+    return containers.select("path", "content").mapInPandas(run, fields)
 
 
 def write_parquet(spectra: DataFrame, path: str, divisions: int = 64, mode: str = "error") -> None:

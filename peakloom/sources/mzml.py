@@ -152,7 +152,12 @@ def read_documents(spark: SparkSession, path: str, columns: Sequence[str] | None
 
     Files come through Spark's binaryFile reader (up to 2 GB each) and are scanned on executors; only the arrays and
     texts among `columns` are decoded."""
-    ship(spark)
+    return spectra_of(spark.read.format("binaryFile").load(path), columns)
+
+
+def spectra_of(documents: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Spectra of documents (path, content), as `read_documents` gives them."""
+    ship(documents.sparkSession)
     wanted = tuple(columns or COLUMNS)
     unknown = set(wanted) - set(COLUMNS)
     if unknown:
@@ -169,7 +174,22 @@ def read_documents(spark: SparkSession, path: str, columns: Sequence[str] | None
                 for a in range(0, len(rows), 1000):
                     yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows[a : a + 1000]], dtype=object) for c in order})
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, fields)
+    return documents.select("path", "content").mapInPandas(run, fields)
+
+
+def documents_of(spectra: DataFrame, file: str, **options) -> DataFrame:
+    """(path, content): one document for each value of the column `file`, its spectra in order of `scan`.
+
+    spectra: scan, ms_level, retention_time, mz, intensity; options: of `write_document`. A file must fit a task."""
+    ship(spectra.sparkSession)
+
+    def write(pdf):
+        import pandas as pd
+
+        rows = pdf.sort_values("scan").to_dict("records")
+        return pd.DataFrame({"path": [str(rows[0][file])], "content": [write_document(rows, **options)]})
+
+    return spectra.groupBy(file).applyInPandas(write, "path string, content binary")
 
 
 def to_peaks(spectra: DataFrame) -> DataFrame:

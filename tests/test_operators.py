@@ -123,3 +123,10 @@ def test_pictures(spark, sf):
     raw = zlib.decompress(made[made.index(b"IDAT") + 4 : -16])
     assert raw[1:4] == bytes(picture.colour_map()[0]) and raw[4:7] == bytes(picture.colour_map()[255])
     assert picture.heat_map_png(cells.limit(0)).startswith(b"\x89PNG") and picture.to_base64(b"abc") == "YWJj"
+
+
+def test_prefix_scans_of_any_span(spark):
+    for keys in ([-(2**62), 0, 2**62, 2**63 - 1, -(2**63)], [5, 5, 5], [10**15, *range(50)]):
+        df = spark.createDataFrame([(k, n) for n, k in enumerate(keys)], "key bigint, n bigint")
+        got = prefix.global_index(df, "key", ties=("n",)).orderBy("index").collect()
+        assert [(r["key"], r.n) for r in got] == sorted((k, n) for n, k in enumerate(keys)) and [r["index"] for r in got] == list(range(len(keys)))

@@ -48,12 +48,12 @@ def test_entry(spark):
 
 def test_base64_of_whole_texts(spark, sf):
     texts = {r.doc_id: r.text for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
-    rows = core.queries()["base64_whole"](spark, sf).collect()
+    rows = core.queries()["base64_roundtrip"](spark, sf).collect()
     assert {r.doc_id: r.restored for r in rows} == texts and max(map(len, texts.values())) > 1000
     assert all(base64.b64decode(r.b64, validate=True) == r.restored.encode() for r in rows)
 
 
 def test_pivot_leaves_nothing_out(spark, sf, oracle):
-    rows = core.queries()["tic_pivot_all"](spark, sf).drop("user_id").collect()
+    rows = core.queries()["tic_pivot"](spark, sf).drop("user_id").collect()
     total = oracle.execute("select cast(sum(cast(round(value * 100) as bigint)) as bigint) from events").fetchone()[0]
     assert sum(v for r in rows for v in r if v is not None) == total

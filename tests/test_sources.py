@@ -250,3 +250,33 @@ def test_source_name():
 def test_output_names():
     assert [api.extract_name(p) for p in ("/x/a.mzML", "a.b.msz", "/d.e/f")] == ["/x/extract_a.mzML", "extract_a.b.mzML", "/d.e/extract_f.mzML"]
     assert [api.output_name(p, k) for p, k in (("a.mzML", "document"), ("a", "document"), ("a.msz", "container"), ("a.x", "container"), ("a.txt", "external"))] == ["a.msz", "a.msz", "a", "a.x.mzML", "a.txt.msz"]
+
+
+def test_a_container_refuses_mixed_types():
+    one, two = (mzml.write_document(spectra(1), mz_type=t) for t in ("<f8", "<f4"))
+    element = two[two.index(b"<spectrum ") : two.index(b"</spectrum>") + len(b"</spectrum>")]
+    at = one.index(b"</spectrum>") + len(b"</spectrum>")
+    with pytest.raises(ValueError, match="can't hold both"):
+        container.compress(one[:at] + b"\n" + element + one[at:])
+
+
+def test_decompression_checks_the_md5():
+    data = container.compress(made())
+    assert Container(data).decompress() == made()
+    bad = bytearray(data)
+    bad[container.MD5_OFFSET] ^= 1
+    with pytest.raises(ValueError, match="MD5"):
+        Container(bytes(bad)).decompress()
+
+
+def test_one_spectrum_costs_one_division_once(monkeypatch):
+    rows = spectra(300)
+    data = mzml.write_document(rows)
+    c = Container(container.compress(data, Options(blocksize=len(data) // 3)))
+    calls = []
+    decode = Container._decode
+    monkeypatch.setattr(Container, "_decode", lambda self, s, k: calls.append((s, k)) or decode(self, s, k))
+    whole = list(container._SPECTRUM.finditer(data))
+    for i in range(300):
+        assert c.spectrum_xml(i) == whole[i].group() and np.array_equal(c.array("mz", i), rows[i]["mz"])
+    assert len(calls) == len(set(calls)) == 2 * sum(bool(d.spectra) for d in c.divisions)
