@@ -39,7 +39,7 @@ def test_language(stages):
 
 def test_lines(spark, stages):
     rows = list(texts(stages[1]).items())
-    test_linededup.order_of(spark, [t for _, t in rows])
+    test_linededup.order_of(spark, rows)
     kept = test_linededup.brute(rows)
     want = {}
     for d, t in rows:
