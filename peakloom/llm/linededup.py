@@ -41,16 +41,26 @@ BINS = 1 << 17
 #: Sets of up to SHORT words have a signature of 64 bits, of up to LONG words one of 128 bits, larger ones of 256: as long as
 #: half the bits are clearly more than two similar sets may differ in.
 SHORT, LONG = 80, 192
+#: The largest size.
+MOST = (1 << 31) - 1
 SIGNATURES = ("s1", "s2", "s3", "s4")
 #: Bytes of slim rows that may be broadcast as keys, by their count; beyond that they are joined by shuffling.
 BROADCAST_BYTES = 32 << 20
+#: Spark's setting for the rows that an aggregation's generated hash map holds, as a power of 2.
+FAST_MAP = "spark.sql.codegen.aggregate.fastHashMap.capacityBit"
 
 
 def _levels(documents: DataFrame, bins: int) -> Column:
     """A literal array: how frequent the words of each bin are, two levels for each doubling of their count."""
     words = documents.select(F.explode(F.split(F.replace("text", F.lit("\n"), F.lit(" ")), " ")).alias("w")).filter("w <> ''")
     counts = words.groupBy(F.xxhash64("w").bitwiseAND(bins - 1).cast("int").alias("bin")).agg(F.count(F.lit(1)).alias("n"))
-    found = counts.select("bin", F.floor(2 * F.log2(F.col("n") + 1)).cast("int").alias("level")).toArrow()
+    conf = documents.sparkSession.conf
+    was = conf.get(FAST_MAP)
+    conf.set(FAST_MAP, str(min(30, max(int(was), bins.bit_length()))))  # all bins in the generated hash map
+    try:
+        found = counts.select("bin", F.floor(2 * F.log2(F.col("n") + 1)).cast("int").alias("level")).toArrow()
+    finally:
+        conf.set(FAST_MAP, was)
     level = np.zeros(bins, np.int64)
     level[found["bin"].to_numpy()] = found["level"].to_numpy()
     return F.from_json(F.lit(str(level.tolist())), "array<int>")
@@ -71,7 +81,8 @@ def _lines(documents: DataFrame) -> DataFrame:
 
 def _words(line: Column, levels: Column, bins: int) -> Column:
     """The line's set as sorted integers, rarest first: level of the word's bin above, 56 bits of its hash below."""
-    hashes = F.array_distinct(F.transform(F.array_remove(F.split(line, " "), ""), lambda w: F.xxhash64(w)))
+    hashes = F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)))
+    hashes = F.array_remove(hashes, F.xxhash64(F.lit("")))  # numbers are cheaper to compare than strings
     # without a null in its type the array is sorted as plain numbers
     level = lambda h: F.coalesce(F.get(levels, h.bitwiseAND(bins - 1).cast("int")), F.lit(0)).cast("bigint")
     return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(level(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
@@ -129,7 +140,7 @@ def _close(x: str, y: str, t: int) -> Column:
 
 def _prefix(words: Column, n: Column, t: int) -> Column:
     """The words that a set can meet a smaller or equal one at; none where no other set is similar enough."""
-    least = -(-t // (100 - t)) if t < 100 else (1 << 31) - 1
+    least = -(-t // (100 - t)) if t < 100 else MOST
     return F.slice(words, 1, F.when(n < least, 0).otherwise(n - F.ceil(n * t / 100) + 1).cast("int"))
 
 
@@ -144,7 +155,8 @@ def _classes(documents: DataFrame, levels: Column, bins: int, t: int) -> DataFra
         *_signatures(F.col("w"), F.col("n")),
         _prefix(F.col("w"), F.col("n"), t).alias("p"),
     )
-    return made.groupBy("k1", "k2", "n", *SIGNATURES, "p").agg(F.min("at").alias("first"))
+    made = made.groupBy("k1", "k2", "n", *SIGNATURES, "p").agg(F.min("at").alias("first"))
+    return made.sortWithinPartitions("n")  # a band of sizes skips the pages of the others
 
 
 def _similar(x: str, y: str, t: int) -> Column:
@@ -161,7 +173,7 @@ def _small(rows: DataFrame, most: int) -> DataFrame:
 BANDS = (
     (1, SHORT, ("s1 ^ s2 ^ s3 ^ s4",)),
     (SHORT + 1, LONG, ("s1 ^ s3", "s2 ^ s4")),
-    (LONG + 1, (1 << 31) - 1, SIGNATURES),
+    (LONG + 1, MOST, SIGNATURES),
 )
 
 
@@ -173,7 +185,7 @@ def _meetings(classes: DataFrame, t: int, broadcast_bytes: int) -> DataFrame:
     met = []
     for low, high, signatures in BANDS:
         own = [F.expr(x).alias(f"g{k}") for k, x in enumerate(signatures)]
-        entries = classes.filter((F.col("n") >= low) & (F.col("n") * t <= 100 * high)).select("k1", "n", *own, F.posexplode("p").alias("i", "word"))
+        entries = classes.filter((F.col("n") >= low) & (F.col("n") <= min(MOST, 100 * high // t))).select("k1", "n", *own, F.posexplode("p").alias("i", "word"))
         short = entries.filter((F.col("n") <= high) & ((100 + t) * (F.col("n") - F.col("i")) >= 2 * t * F.col("n")))
         bits = reduce(lambda a, b: a + b, [F.bit_count(F.col(f"x.g{k}").bitwiseXOR(F.col(f"y.g{k}"))) for k in range(len(own))])
         both = F.col("x.n") + F.col("y.n")
