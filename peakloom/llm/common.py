@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,11 +22,14 @@ CHUNK_BYTES = 1 << 19
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share; a temporary one only where none is configured."""
+    """The folder that driver and executors share. Where none is configured a local master gets a temporary one; on a
+    cluster that would be another folder on each machine, so it is an error."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     sc = spark.sparkContext
     if where is None:
         held = sc._jsc.sc().getCheckpointDir()
+        if held.isEmpty() and not re.fullmatch(r"local(\[.*\])?", sc.master):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         where = held.get() if held.isDefined() else tempfile.mkdtemp(prefix="peakloom-")
     if sc._jsc.sc().getCheckpointDir().isEmpty():
         sc.setCheckpointDir(where)

@@ -10,6 +10,9 @@ spans), so no task ever holds all blocks of a long file.
 What follows the last separator of a file counts as one more document, `closed` false. Empty files have no
 documents; a separator right after another closes a document of 0 tokens. A file of a length that isn't a
 multiple of the token size raises an error.
+
+Of a table of documents only `doc_id` (cast to bigint) and `text` are read, whatever other columns are called. Each row is a
+document of its own: null and repeated ids and repeated texts give as many rows. An empty table has no documents.
 """
 
 from __future__ import annotations
@@ -29,6 +32,10 @@ from .common import blobs, checkpoint, text_batches
 
 BLOCK_TOKENS = 1 << 19
 SPAN = 256
+#: Bytes of flat files that one task reads, about.
+TASK_BYTES = 128 << 20
+#: Hadoop's names of the file systems that Arrow opens by itself.
+ARROW_SCHEMES = {"hdfs": "hdfs", "viewfs": "viewfs", "s3": "s3", "s3a": "s3", "gs": "gs"}
 #: The byte-level vocabulary, and the id that it leaves free for the end of a document.
 RANKS = "byte_bpe_50k.tiktoken"
 EOD = 50256
@@ -89,23 +96,68 @@ def flatten(documents: DataFrame, ranks: str | None = None, eod: int = EOD, bloc
     return documents.select(F.col("doc_id").cast("bigint"), "text").mapInArrow(run, _BLOCKS)
 
 
-def read_files(spark: SparkSession, path: str, width: int = 2, block: int = BLOCK_TOKENS) -> DataFrame:
-    """Flat token files (each of up to 2 GB, as Spark's binaryFile source reads them) as the same rows."""
+def _split(path: str) -> tuple[str, str, str]:
+    """Scheme, authority and path of a file's name as Spark lists it."""
+    scheme, rest = path.split(":", 1)
+    authority, rest = rest[2:].split("/", 1) if rest.startswith("//") else ("", rest.lstrip("/"))
+    return scheme, authority, "/" + rest
+
+
+def _open(path: str):
+    """The file, read at any place; on object stores and HDFS by Arrow's file systems."""
+    scheme, authority, rest = _split(path)
+    if scheme == "file":
+        return open(rest, "rb")
+    from pyarrow import fs
+
+    system, root = fs.FileSystem.from_uri(f"{ARROW_SCHEMES[scheme]}://{authority}/")
+    return system.open_input_file(root.rstrip("/") + rest)
+
+
+def read_files(spark: SparkSession, path: str, width: int = 2, block: int = BLOCK_TOKENS, task_bytes: int = TASK_BYTES) -> DataFrame:
+    """Flat token files of any size as the same rows: only names and lengths are listed, then each task reads its blocks'
+    byte ranges, about task_bytes in all, one block at a time.
+
+    Schemes that Arrow can't open (all but those of ARROW_SCHEMES and file) go through Spark's binaryFile source, a whole
+    file a task, of up to 2 GB."""
     text_batches(spark)
+    fields = ("file", "block", "payload", "ids")
+    files = spark.read.format("binaryFile").load(path)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def row(file: str, at: int, data: bytes) -> pa.RecordBatch:
+        return pa.record_batch([pa.array([file]), pa.array([at], pa.int64()), pa.array([data], pa.binary()), pa.array([None], pa.list_(pa.int64()))], names=fields)
+
+    def whole(file: str, size: int) -> None:
+        if size % width:
+            raise ValueError(f"{file}: {size} bytes are no whole number of tokens of {width} bytes")
+
+    def contents(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for file, data in zip(batch.column(0).to_pylist(), batch.column(1)):
                 raw = memoryview(data.as_buffer())
-                if len(raw) % width:
-                    raise ValueError(f"{file}: {len(raw)} bytes are no whole number of tokens of {width} bytes")
+                whole(file, len(raw))
                 for k in range(0, len(raw), block * width):
-                    yield pa.record_batch(
-                        [pa.array([file]), pa.array([k // (block * width)]), pa.array([raw[k : k + block * width].tobytes()], pa.binary()), pa.array([None], pa.list_(pa.int64()))],
-                        names=["file", "block", "payload", "ids"],
-                    )
+                    yield row(file, k // (block * width), raw[k : k + block * width].tobytes())
 
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(run, _BLOCKS)
+    def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for file, size, at in zip(*(c.to_pylist() for c in batch.columns)):
+                whole(file, size)
+                start = at * block * width
+                with _open(file) as f:
+                    f.seek(start)
+                    data = f.read(min(block * width, size - start))
+                if len(data) != min(block * width, size - start):
+                    raise ValueError(f"{file}: changed while it was read")
+                yield row(file, at, data)
+
+    listed = files.select("path", "length").filter("length > 0")
+    schemes = listed.groupBy(F.substring_index("path", ":", 1).alias("s")).agg(F.sum("length")).toArrow()
+    if not set(schemes.column(0).to_pylist()) <= {"file", *ARROW_SCHEMES}:
+        return files.select("path", "content").mapInArrow(contents, _BLOCKS)
+    tasks = max(1, -(-sum(schemes.column(1).to_pylist()) // task_bytes))
+    blocks = listed.select("path", "length", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("length") - 1) / (block * width)))).alias("block"))
+    return blocks.repartition(tasks, "path", "block").mapInArrow(ranges, _BLOCKS)
 
 
 def find_separators(blocks: DataFrame, eod: int = EOD, width: int = 2) -> DataFrame:
