@@ -36,7 +36,7 @@ from .common import blobs, text_batches
 #: The public 32k model; any SentencePiece model with byte fallback will do.
 MODEL = "piece_bpe_32k.model"
 #: Code points that one chunk of texts has, about.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 ALPHA = 1.0
 #: Natural log of what a fallback to bytes weighs, for each byte.
 BYTE_WEIGHT = -14.0
@@ -187,18 +187,19 @@ def _lattice(cp: np.ndarray, start: np.ndarray, size: np.ndarray, v: Vocabulary,
     bare = np.flatnonzero(piece[0] < 0)
     piece[0, bare] = -2 - bare
     deepest = len(piece)
-    weight = np.where(piece >= 0, alpha * v.weight[np.maximum(piece, 0)], -np.inf)
-    width = np.where(cp[bare] == _LITERAL, 3, np.where(cp[bare] < 0x80, 1, np.where(cp[bare] < 0x800, 2, np.where(cp[bare] < 0x10000, 3, 4))))
-    weight[0, bare] = BYTE_WEIGHT * width
     # node of character i: i + segment; incoming edges of length t + 1 start t + 1 nodes earlier
     node = np.arange(n) + seg_of
     nodes = n + len(start)
     into = np.full((nodes, deepest), -1, np.int32)
     gain = np.full((nodes, deepest), -np.inf, np.float32)
-    for t in range(deepest):
+    for t in range(deepest):  # one length at a time: weights of all lengths at once would take more than all else
         some = np.flatnonzero(piece[t] != -1)
-        into[node[some] + t + 1, t] = piece[t, some]
-        gain[node[some] + t + 1, t] = weight[t, some]
+        own = piece[t, some]
+        into[node[some] + t + 1, t] = own
+        gain[node[some] + t + 1, t] = alpha * v.weight[np.maximum(own, 0)]
+    width = np.where(cp[bare] == _LITERAL, 3, np.where(cp[bare] < 0x80, 1, np.where(cp[bare] < 0x800, 2, np.where(cp[bare] < 0x10000, 3, 4))))
+    gain[node[bare] + 1, 0] = BYTE_WEIGHT * width
+    del piece
     total = np.zeros(nodes)
     first = start + np.arange(len(start))
     order = np.argsort(-size, kind="stable")
