@@ -15,9 +15,14 @@ def total_and_base(peaks: DataFrame, by: list[str], intensity: str = "intensity"
     return peaks.groupBy(*by).agg(F.sum(cents).alias("tic_cents"), F.greatest(F.lit(0.0), F.max(intensity)).alias("base_peak"), F.count(F.lit(1)).alias("n_peaks"))
 
 
+def _ln(value: Column) -> Column:
+    """The natural logarithm, -inf of zero and NaN below it: Spark's is null there, and a sum would leave the value out."""
+    return F.when(value == 0, F.lit(float("-inf"))).when(value < 0, F.lit(float("nan"))).otherwise(F.ln(value))
+
+
 def heat_map(peaks: DataFrame, mz: Column, rt: Column, value: Column) -> DataFrame:
-    """Cells (rounded m/z, rt): cube root of the sum of logarithms, rounded."""
-    cells = peaks.groupBy(mz.alias("mz_bin"), rt.alias("rt_bin")).agg(F.sum(F.ln(value)).alias("s"), F.count(F.lit(1)).alias("n"))
+    """Cells (rounded m/z, rt): cube root of the sum of logarithms, rounded; a cell with a value of zero is -inf."""
+    cells = peaks.groupBy(mz.alias("mz_bin"), rt.alias("rt_bin")).agg(F.sum(_ln(value)).alias("s"), F.count(F.lit(1)).alias("n"))
     return cells.select("mz_bin", "rt_bin", F.round(F.cbrt("s"), 6).alias("cell"), "n")
 
 

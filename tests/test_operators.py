@@ -1,10 +1,12 @@
 import os
 
+import duckdb
 import pytest
 from pyspark.sql import functions as F
 
 from peakloom.functions import columns, picture, table
 from peakloom.operators import analysis, prefix, selection
+from peakloom.plans import queries as core
 from peakloom.sources import mzml
 from peakloom.streaming import ingest
 
@@ -109,6 +111,19 @@ def test_windows(spark, sf):
     assert out.agg(F.sum("n")).first()[0] == events.count()
 
 
+def test_heat_map_of_values_without_logarithm(spark, tmp_path):
+    """-inf of zero and NaN below it, as the query's SQL has it, not left out."""
+    values = [(1, 0.0), (1, 0.25), (2, -3.0), (2, -3.1), (3, -0.0), (4, 2.0), (4, 2.25), (5, None), (6, float("nan")), (7, float("inf")), (8, 0.0), (8, None)]
+    rows = [(k, None, u, "click", v, "{}") for k, (u, v) in enumerate(values)]
+    spark.createDataFrame(rows, "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double, props string").write.parquet(f"{tmp_path}/events.parquet")
+    con = duckdb.connect()
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet/*.parquet'")
+    got = core.queries()["tic_heatmap"](spark, str(tmp_path)).select("mz_bin", "rt_bin", "cell", "n").collect()
+    shown = lambda rows: sorted(tuple(str(v + 0.0 if isinstance(v, float) else v) for v in r) for r in rows)
+    assert shown(got) == shown(con.execute(core.oracle_sql()["tic_heatmap"]).fetchall())
+    assert {(r.rt_bin, r.n): r.cell for r in got}[1, 2] == float("-inf")
+
+
 def test_pictures(spark, sf):
     import struct
     import zlib
@@ -122,6 +137,8 @@ def test_pictures(spark, sf):
     assert made.startswith(b"\x89PNG") and (width, height) == (2, 2)
     raw = zlib.decompress(made[made.index(b"IDAT") + 4 : -16])
     assert raw[1:4] == bytes(picture.colour_map()[0]) and raw[4:7] == bytes(picture.colour_map()[255])
+    infinite = spark.createDataFrame([(1.0, 0, float("-inf")), (2.0, 1, 5.0)], cells.schema)
+    assert picture.heat_map_png(infinite) == made
     assert picture.heat_map_png(cells.limit(0)).startswith(b"\x89PNG") and picture.to_base64(b"abc") == "YWJj"
 
 
