@@ -628,6 +628,8 @@ _STORED = f"""(select h.scan, {_FILE.replace('scan', 'h.scan')} as file, dense_r
 #: What is looked up by index in each file: both ends of its first and second block, and more.
 LOOKUP = [0, 1, 2, 40, 499, 500, 777, 1000]
 _LOOKED = f"index in ({', '.join(map(str, LOOKUP))})"
+#: What the queries use of a document's spectra.
+_READ = ("file", "index", "scan", "ms_level", "retention_time", "mz", "intensity")
 #: Small blocks, so that files have several.
 _OPTIONS = container.Options(blocksize=200_000)
 
@@ -650,7 +652,7 @@ _COLUMNS = "file, cast(index as bigint) as index, scan, ms_level, cast(pos as bi
 @query(f"select file, cast(index as bigint) as index, scan, ms_level, rt_days, cast(pos as bigint) as pos, mz, cast(intensity as double) as intensity from {_STORED}")
 def mzml_roundtrip(spark, d):
     """Documents written on executors and read again."""
-    return _stored_peaks(mzml.spectra_of(documents_from_tables(spark, d)), F.col("retention_time").cast("bigint").alias("rt_days"))
+    return _stored_peaks(mzml.spectra_of(documents_from_tables(spark, d), _READ), F.col("retention_time").cast("bigint").alias("rt_days"))
 
 
 @query(f"select {_COLUMNS} from {_STORED}")
@@ -663,7 +665,7 @@ def container_roundtrip(spark, d):
 def container_decompress(spark, d):
     """Containers made documents again, and those read."""
     made = container.compress_contents(documents_from_tables(spark, d), _OPTIONS)
-    return _stored_peaks(mzml.spectra_of(container.decompress_contents(made)))
+    return _stored_peaks(mzml.spectra_of(container.decompress_contents(made), _READ))
 
 
 @query(f"select {_COLUMNS} from {_STORED} where {_LOOKED}")
@@ -676,7 +678,7 @@ def container_lookup(spark, d):
 def subset_roundtrip(spark, d):
     """Documents of some spectra of each container, and what they hold."""
     made = container.compress_contents(documents_from_tables(spark, d), _OPTIONS)
-    return _stored_peaks(mzml.spectra_of(container.extract_contents(made, LOOKUP)))
+    return _stored_peaks(mzml.spectra_of(container.extract_contents(made, LOOKUP), _READ))
 
 
 @query(f"select file, cast(count(distinct scan) as bigint) as num_spectra, cast({columns.CONTAINER_MAGIC} as bigint) as magic_tag, true as whole, true as ordered from {_STORED} group by 1")

@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -16,6 +17,7 @@ from pyspark.sql import functions as F
 
 from ..functions import codecs
 from ..plans.session import ship
+from . import contents
 
 # Accessions of terms.
 MS_LEVEL, MS1, MSN = 1000511, 1000579, 1000580
@@ -157,7 +159,6 @@ def read_documents(spark: SparkSession, path: str, columns: Sequence[str] | None
 
 def spectra_of(documents: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
     """Spectra of documents (path, content), as `read_documents` gives them."""
-    ship(documents.sparkSession)
     wanted = tuple(columns or COLUMNS)
     unknown = set(wanted) - set(COLUMNS)
     if unknown:
@@ -165,31 +166,26 @@ def spectra_of(documents: DataFrame, columns: Sequence[str] | None = None) -> Da
     fields = ", ".join(c for c in SCHEMA.split(", ") if c.split()[0] in wanted)
     order = [c.split()[0] for c in fields.split(", ")]
 
-    def run(batches):
+    def run(file, data):
         import pandas as pd
 
-        for pdf in batches:
-            for file, data in zip(pdf["path"], pdf["content"]):
-                rows = [{"file": file, **r, "index": k} for k, r in enumerate(scan_document(bytes(data), columns=wanted))]
-                for a in range(0, len(rows), 1000):
-                    yield pd.DataFrame({c: pd.Series([r.get(c) for r in rows[a : a + 1000]], dtype=object) for c in order})
+        rows = ({"file": file, **r, "index": k} for k, r in enumerate(scan_document(data, columns=wanted)))
+        while part := list(islice(rows, 1000)):
+            yield pd.DataFrame({c: pd.Series([r.get(c) for r in part], dtype=object) for c in order})
 
-    return documents.select("path", "content").mapInPandas(run, fields)
+    return contents.read(documents, run, fields)
 
 
 def documents_of(spectra: DataFrame, file: str, **options) -> DataFrame:
     """(path, content): one document for each value of the column `file`, its spectra in order of `scan`.
 
     spectra: scan, ms_level, retention_time, mz, intensity; options: of `write_document`. A file must fit a task."""
-    ship(spectra.sparkSession)
 
     def write(pdf):
-        import pandas as pd
-
         rows = pdf.sort_values("scan").to_dict("records")
-        return pd.DataFrame({"path": [str(rows[0][file])], "content": [write_document(rows, **options)]})
+        return str(rows[0][file]), write_document(rows, **options)
 
-    return spectra.groupBy(file).applyInPandas(write, "path string, content binary")
+    return contents.write(spectra, file, write)
 
 
 def to_peaks(spectra: DataFrame) -> DataFrame:

@@ -1,15 +1,18 @@
 import hashlib
 import os
 import pickle
+import re
 import struct
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from peakloom import api, cli
 from peakloom.functions import codecs
 from peakloom.functions import transforms as T
 from peakloom.operators.analysis import validate
+from peakloom.plans import queries as core
 from peakloom.sources import container, external, mzml
 from peakloom.sources.container import Container, Options
 
@@ -280,3 +283,30 @@ def test_one_spectrum_costs_one_division_once(monkeypatch):
     for i in range(300):
         assert c.spectrum_xml(i) == whole[i].group() and np.array_equal(c.array("mz", i), rows[i]["mz"])
     assert len(calls) == len(set(calls)) == 2 * sum(bool(d.spectra) for d in c.divisions)
+
+
+def test_steps_share_a_worker(spark, sf):
+    """Documents written, compressed, decompressed and read again take one Python worker a task, not one a step."""
+    python = lambda df: len(re.findall(r"(?:MapInPandas|FlatMapGroupsInPandas)", df._jdf.queryExecution().optimizedPlan().toString()))
+    for name in ("mzml_roundtrip", "container_roundtrip", "container_decompress", "container_lookup", "subset_roundtrip"):
+        assert python(core.queries()[name](spark, sf)) == 1, name
+
+
+def test_chains_of_steps(spark):
+    """Every step's outcome can be used on its own, more than once, and a chain without rows is empty."""
+    documents = [(str(k), mzml.write_document(spectra(12, seed=k), **CASES["mz64_int32_zlib"])) for k in range(5)]
+    rows = spark.createDataFrame([(k, n, n) for k in range(5) for n in range(4)], "file bigint, scan bigint, ms_level int")
+    rows = rows.select("*", F.lit(1.5).alias("retention_time"), F.array(F.lit(1.0), F.col("scan") + 2.0).alias("mz"), F.array(F.lit(3.0), F.lit(4.0)).alias("intensity"))
+    for source in (spark.createDataFrame(documents, "path string, content binary"), mzml.documents_of(rows, "file")):
+        originals = {r.path: bytes(r.content) for r in source.collect()}
+        made = container.compress_contents(source, container.Options(blocksize=500))
+        packed = {r.path: bytes(r.content) for r in made.collect()}
+        assert packed == {k: container.compress(v, container.Options(blocksize=500)) for k, v in originals.items()}
+        again = container.decompress_contents(made)
+        assert {r.path: bytes(r.content) for r in again.collect()} == originals and len(originals) == 5
+        assert {r.path: bytes(r.content) for r in made.collect()} == packed
+        n = sum(len(container.Container(x)) for x in packed.values())
+        assert mzml.spectra_of(again).count() == container.spectra_of(made).count() == n
+        assert container.spectra_of(made, []).collect() == [] and container.footers_of(made).agg(F.sum("num_spectra")).first()[0] == n
+        assert mzml.spectra_of(container.extract_contents(made, [1, 3, 99])).count() == 10
+        assert mzml.spectra_of(again.filter("path = '3'")).count() == len(container.Container(packed["3"]))
