@@ -63,7 +63,7 @@ def _levels(documents: DataFrame, bins: int) -> Column:
         conf.set(FAST_MAP, was)
     level = np.zeros(bins, np.int64)
     level[found["bin"].to_numpy()] = found["level"].to_numpy()
-    return F.from_json(F.lit(str(level.tolist())), "array<int>")
+    return F.from_json(F.lit(str(level.tolist())), "array<bigint>")
 
 
 def _keys(doc_id: Column, text: Column) -> tuple[Column, Column]:
@@ -75,7 +75,8 @@ def _lines(documents: DataFrame) -> DataFrame:
     """(at, line): every line that has a word, and its place in the order of all lines: doc_id, t1, t2, line_no."""
     t1, t2 = _keys(F.col("doc_id"), F.col("text"))
     whole = documents.select("doc_id", t1.alias("t1"), t2.alias("t2"), F.split("text", "\n").alias("lines"))  # hashed once a text, not a line
-    made = whole.select("doc_id", "t1", "t2", F.posexplode("lines").alias("line_no", "line"))
+    # outer: else Spark checks first that there is a line at all, and splits each text twice more for that; null texts go with the blank lines
+    made = whole.select("doc_id", "t1", "t2", F.posexplode_outer("lines").alias("line_no", "line"))
     return made.filter(F.trim("line") != "").select(F.struct("doc_id", "t1", "t2", "line_no").alias("at"), "line")
 
 
@@ -83,8 +84,8 @@ def _words(line: Column, levels: Column, bins: int) -> Column:
     """The line's set as sorted integers, rarest first: level of the word's bin above, 56 bits of its hash below."""
     hashes = F.array_distinct(F.transform(F.split(line, " "), lambda w: F.xxhash64(w)))
     hashes = F.array_remove(hashes, F.xxhash64(F.lit("")))  # numbers are cheaper to compare than strings
-    # without a null in its type the array is sorted as plain numbers
-    level = lambda h: F.coalesce(F.get(levels, h.bitwiseAND(bins - 1).cast("int")), F.lit(0)).cast("bigint")
+    # without a null in its type the array is sorted as plain numbers; no casts: each is a call for every word
+    level = lambda h: F.coalesce(levels[h.bitwiseAND(bins - 1)], F.lit(0).cast("bigint"))
     return F.sort_array(F.transform(hashes, lambda h: F.shiftleft(level(h), 56).bitwiseOR(F.shiftrightunsigned(h, 8))))
 
 

@@ -140,3 +140,10 @@ def test_no_python_on_the_main_path(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     plan = linededup.report(docs)._jdf.queryExecution().toString()
     assert "Python" not in plan and "Arrow" not in plan
+
+
+def test_texts_are_split_once(spark):
+    df = spark.createDataFrame([(1, "a b\n\nc"), (2, None), (3, "")], "doc_id bigint, text string")
+    lines = linededup._lines(df)
+    assert sorted((r.at.doc_id, r.at.line_no, r.line) for r in lines.collect()) == [(1, 0, "a b"), (1, 2, "c")]
+    assert lines._jdf.queryExecution().optimizedPlan().toString().count("split(") == 1
